@@ -104,7 +104,7 @@ def retries(features: DataFrame, use_simhash: bool = True) -> DataFrame:
     keep = [scale.BLOCK] if scale.BLOCK in features.columns else []
     u = features.where("role = 'user'").select(*keep, *TURN, "wset", *(["fp"] if use_simhash else []))
     ident = F.xxhash64("wset", *(["fp"] if use_simhash else []))
-    u = u.withColumn("cls", ident)
+    u = scale.materialize(u.withColumn("cls", ident))  # read by every candidate filter below
     c = u.groupBy("conv_id", "cls").agg(F.first("wset").alias("wset"), *([F.first("fp").alias("fp")] if use_simhash else []))
     c = c.withColumn("m", F.size("wset"))
     # Jaccard candidates
@@ -450,12 +450,13 @@ def analyse(turns: DataFrame, salt: bytes = b"", use_simhash: bool = True) -> di
     feats = turn_words(turns)
     if use_simhash:
         feats = fingerprints(feats, salt)
+    feats = scale.materialize(feats)
     counts = word_counts(feats)
-    kw = keywords(feats, counts)
+    kw = scale.materialize(keywords(feats, counts))
     topic_rows = topics(counts, kw)
-    n = intents(feats, retries(feats, use_simhash))
-    placed = threads(n, topic_rows, cues(counts))
-    nodes = n.drop("text", "words", "wset").join(placed.select(*TURN, "branch", "depth"), TURN)
+    n = scale.materialize(intents(feats, retries(feats, use_simhash)).drop("text", "words", "wset"))
+    placed = scale.materialize(threads(n, topic_rows, cues(counts)))
+    nodes = n.join(placed.select(*TURN, "branch", "depth"), TURN)
     x = exchanges(nodes)
     m = metrics(nodes, x)
     red = redundant_turns(x).distinct().withColumn("redundant", F.lit(True))

@@ -105,6 +105,7 @@ def packet(items: DataFrame, n: int = 200, calibration: int = 20, seed: int = SE
     """(item_id, part, session_id, idx, instr, stratum): calibration items drawn first, the main sample from the
     rest. Order inside a stratum is a hash of seed and item, so the draw does not depend on partitioning."""
     frame = sampling_frame(items, exclude).withColumn("_o", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("session_id").cast("string"), F.col("idx").cast("string")), 256))
+    frame = scale.materialize(frame.select("session_id", "idx", "instr", "stratum", "_o"))  # drawn from twice
     cal = _draw(frame, calibration, "calibration")
     rest = frame.join(cal.select("session_id", "idx"), ["session_id", "idx"], "left_anti")
     picked = cal.unionByName(_draw(rest, n, "main"))

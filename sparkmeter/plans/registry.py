@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,7 +17,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(name)
-        QUERIES[name] = fn
+        QUERIES[name] = _prepared(fn)
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -22,6 +25,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _prepared(fn):
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return fn(spark, sf_dir)
+
+    return run
+
+
 def load_all() -> None:
     from . import bound_queries, call_queries, chat_queries, log_queries, record_queries, text_queries  # noqa: F401
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import ensure_checkpoint_dir
+from .session import ensure_checkpoint_dir, prepare
 
 BLOCK = "blk"
 HOT_MIN_ROWS = 2_000_000  # a group below this many rows is never split
@@ -63,6 +63,12 @@ def with_blocks(df: DataFrame, by: Sequence[str], order: str, min_rows: int = HO
     return out.drop("_cuts", "_all")
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read to the checkpoint folder, and cut its lineage."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 # ---------------------------------------------------------------- scan
 
 
@@ -125,6 +131,7 @@ def _local(op: Op, w) -> Column:
 def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], **ops: Op) -> DataFrame:
     """Add one column per op, computed along ``order`` inside each ``by`` group."""
     by, order = list(by), list(order)
+    prepare(df.sparkSession)
     if BLOCK not in df.columns:
         w = Window.partitionBy(*by).orderBy(*order)
         return df.withColumns({name: _local(op, w) for name, op in ops.items()})

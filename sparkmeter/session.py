@@ -34,3 +34,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(path)
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings results depend on.
+
+    Spark 4.1 lets a union claim its children's partitioning; with adaptive execution that claim can be
+    wrong and a window or aggregation over the union then skips a shuffle it needs and loses rows.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
