@@ -129,7 +129,7 @@ def calibrate(segments: DataFrame, calls: DataFrame, min_tokens: int = 2_000, or
         F.col("context") - F.when(restart, F.col("_c0")).otherwise(F.col("_p"))).cast("double")})
     ranks = scale.value_ranks(c, ["session_id"], "ratio")
     middle = F.floor(F.col("total") / 2)  # the upper median
-    factor = ranks.where((F.col("total") >= 5) & (middle >= F.col("before")) & (middle < F.col("before") + F.col("n"))) \
+    factor = ranks.where((F.col("total") >= 5) & (middle >= F.col("before")) & (middle < F.col("before") + F.col("copies"))) \
         .select("session_id", F.col("ratio").alias("factor"))
     factor = calls.select("session_id").distinct().join(factor, "session_id", "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
     c = c.join(factor, "session_id")

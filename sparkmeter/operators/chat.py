@@ -414,7 +414,7 @@ def prompt_skeleton(nodes: DataFrame, topic_rows: DataFrame, agenda_rows: DataFr
     useful = nodes.where("role = 'assistant'").join(redundant.select(*TURN).distinct(), TURN, "left_anti")
     ranks = scale.value_ranks(useful, ["conv_id"], "tokens")
     mid = F.floor(F.col("total") / 2)
-    target = ranks.where((mid >= F.col("before")) & (mid < F.col("before") + F.col("n"))).select("conv_id", F.col("tokens").alias("mid"))
+    target = ranks.where((mid >= F.col("before")) & (mid < F.col("before") + F.col("copies"))).select("conv_id", F.col("tokens").alias("mid"))
     code = nodes.where("role = 'assistant'").groupBy("conv_id").agg(F.bool_or("has_code").alias("wants_code"))
     s = main.select("conv_id").join(goal, "conv_id", "left").join(details, "conv_id", "left").join(limits, "conv_id", "left") \
         .join(others, "conv_id", "left").join(target, "conv_id", "left").join(code, "conv_id", "left").join(languages, "conv_id", "left")

@@ -70,8 +70,7 @@ def sampling_frame(items: DataFrame, exclude: DataFrame | None = None) -> DataFr
     p = scale.scan(p, ["session_id"], ["instr"], idx=scale.row_index())
     r = scale.value_ranks(p, ["session_id"], "input")
     third, two = F.floor(F.col("total") / 3), F.floor(F.col("total") * 2 / 3)
-    at = lambda rank: F.max(F.when((rank >= F.col("before")) & (rank < F.col("before") + F.col("n")), F.col("input")))
-    cuts = r.groupBy("session_id").agg(at(third).alias("t1"), at(two).alias("t2"))
+    cuts = r.groupBy("session_id").agg(scale.at_rank("input", third).alias("t1"), scale.at_rank("input", two).alias("t2"))
     p = p.join(cuts, "session_id")
     size = F.when(F.col("input") < F.col("t1"), "s").when(F.col("input") < F.col("t2"), "m").otherwise("l")
     p = p.withColumn("stratum", F.concat_ws("|", F.col("session_id").cast("string"), size)).drop("t1", "t2")

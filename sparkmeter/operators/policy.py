@@ -102,8 +102,7 @@ def tune(rows: DataFrame) -> DataFrame:
     """(family, n): on the dev split, the N with the largest median saving whose median miss rate is
     acceptable; the smaller N on ties; the default with too few dev sessions; else the largest N."""
     dev = rows.where("split = 'dev'")
-    med = scale.exact_percentiles(dev, ["family", "n"], "saved_pct", saved=0.5) \
-        .join(scale.exact_percentiles(dev, ["family", "n"], "miss_rate", miss=0.5), ["family", "n"])
+    med = scale.exact_medians(dev, ["family", "n"], saved="saved_pct", miss="miss_rate")
     best = med.where(F.col("miss") <= MAX_MISS_RATE).groupBy("family").agg(F.max_by("n", F.struct("saved", -F.col("n"))).alias("_n"))
     count = dev.groupBy("family").agg(F.count_distinct("session_id").alias("dev_sessions"))
     out = rows.select("family").distinct().join(count, "family", "left").join(best, "family", "left")
@@ -140,7 +139,7 @@ def bootstrap_median(df: DataFrame, by: list[str], value: str, reps: int = BOOTS
     sorted values, and that order statistic has a Beta law. So each resample costs one or two draws
     instead of n, whatever n is. Draws are seeded per (group, rep): the same on any partitioning.
     """
-    ranks = scale.value_ranks(df, by, value)
+    ranks = scale.materialize(scale.value_ranks(df, by, value))  # read for the sizes and for the look-up
     totals = ranks.groupBy(*by).agg(F.first("total").alias("total")) if by else ranks.agg(F.first("total").alias("total"))
     tasks = totals.where("total >= 2").select(*by, "total", F.xxhash64(F.lit(seed), *by).alias("_h"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
 
@@ -288,7 +287,6 @@ def sensitivity_summary(cells: DataFrame) -> DataFrame:
     by = ["min_shared", "common_frac"]
     d = cells.withColumn("_d", F.col("avoidable_pct_P0") - F.col("avoidable_pct_Pinf"))
     out = d.groupBy(*by).agg(F.count(F.lit(1)).alias("sessions"))
-    for v, n in (("avoidable_pct_P0", "median_P0"), ("avoidable_pct_Pinf", "median_Pinf"), ("_d", "median_difference")):
-        out = out.join(scale.exact_percentiles(d, by, v, **{n: 0.5}), by)
+    out = out.join(scale.exact_medians(d, by, median_P0="avoidable_pct_P0", median_Pinf="avoidable_pct_Pinf", median_difference="_d"), by)
     all_cells = out.agg(F.bool_and(F.col("median_difference") > 0).alias("in_every_cell"))
     return out.join(F.broadcast(all_cells))  # one row

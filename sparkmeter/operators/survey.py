@@ -100,16 +100,16 @@ def concentration(instr: DataFrame, fractions=(0.01, 0.05, 0.10, 0.20, 0.50)) ->
     ordering of all rows in one task."""
     runs = scale.value_ranks(instr.withColumn("_v", -F.col("input")), [], "_v")  # largest first
     k = {f: F.greatest(F.lit(1), F.bround(F.lit(f) * F.col("total"), 0)) for f in fractions}
-    aggs = [F.sum(-F.col("_v") * F.least("n", F.greatest(F.lit(0), k[f] - F.col("before"))).cast("bigint")).alias(f"_{i}")
+    aggs = [F.sum(-F.col("_v") * F.least("copies", F.greatest(F.lit(0), k[f] - F.col("before"))).cast("bigint")).alias(f"_{i}")
             for i, f in enumerate(fractions)]
-    t = runs.agg(F.sum(-F.col("_v") * F.col("n")).alias("_t"), *aggs)
+    t = runs.agg(F.sum(-F.col("_v") * F.col("copies")).alias("_t"), *aggs)
     rows = F.array(*[F.struct(F.lit(f).alias("fraction"), (F.col(f"_{i}") / F.col("_t")).alias("share")) for i, f in enumerate(fractions)])
     return t.select(F.inline(rows))
 
 
 def cumulative_shares(instr: DataFrame) -> DataFrame:
     """(input, n, cum_share): the concentration curve, one row per distinct value."""
-    runs = scale.value_ranks(instr.withColumn("_v", -F.col("input")), [], "_v").select((-F.col("_v")).alias("input"), "_v", "n", scale.BLOCK)
+    runs = scale.value_ranks(instr.withColumn("_v", -F.col("input")), [], "_v").select((-F.col("_v")).alias("input"), "_v", F.col("copies").alias("n"), scale.BLOCK)
     runs = scale.scan(runs, [], ["_v"], _c=scale.running_sum(F.col("input") * F.col("n")))
     total = instr.agg(F.sum("input").alias("_t"))
     return runs.join(F.broadcast(total)).select("input", "n", (F.col("_c") / F.col("_t")).alias("cum_share"))  # one row

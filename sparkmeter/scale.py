@@ -178,7 +178,7 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], **ops: Op) -> D
 
 
 def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by, value, blk, n, before, total): each distinct value with how many rows precede it.
+    """(by, value, blk, copies, before, total): each distinct value with how many rows precede it.
 
     Rows are first combined by value on the map side, so copies of one value cost one row. Values
     are ranked in blocks of equal magnitude (64 per octave, a few thousand at most per group), so
@@ -187,31 +187,49 @@ def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     by = list(by)
     v = F.col(value).cast("double")
     magnitude = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * 64).cast("int")
-    runs = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    runs = scan(runs.withColumn(BLOCK, magnitude), by, [value], before=running_sum(F.col("n"), inclusive=False))
-    totals = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
-    if by:
-        return runs.join(totals, by)
-    return runs.join(F.broadcast(totals))  # one row
+    runs = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("copies"))
+    runs = runs.withColumn(BLOCK, magnitude)
+    blocks = runs.groupBy(*by, BLOCK).agg(F.sum("copies").alias("_s"))
+    over = Window.partitionBy(*by)  # block sums only
+    blocks = blocks.withColumns({
+        "_b": F.sum("_s").over(over.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), "total": F.sum("_s").over(over)})
+    w = Window.partitionBy(*by, BLOCK).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("before", F.sum("copies").over(w)).join(blocks, [*by, BLOCK])
+    runs = runs.withColumn("before", F.coalesce("before", F.lit(0)) + F.coalesce("_b", F.lit(0)))
+    return runs.select(*by, value, BLOCK, "copies", "before", "total")
+
+
+def at_rank(value: Column | str, rank: Column) -> Column:
+    """Aggregate over value_ranks rows: the value holding a 0-based rank."""
+    held = (rank >= F.col("before")) & (rank < F.col("before") + F.col("copies"))
+    return F.max(F.when(held, F.col(value) if isinstance(value, str) else value))
 
 
 def exact_percentiles(df: DataFrame, by: Sequence[str], value: str, **qs: float) -> DataFrame:
     """Linear-interpolated quantiles without holding a group's values in one aggregation buffer."""
     by = list(by)
     r = value_ranks(df, by, value)
+    v = F.col(value).cast("double")
     aggs = []
     for name, q in qs.items():
         pos = F.lit(q) * (F.col("total") - 1)
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            inside = (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
-            aggs.append(F.max(F.when(inside, F.col(value).cast("double"))).alias(f"_{side}_{name}"))
-        aggs.append(F.max(pos - F.floor(pos)).alias(f"_f_{name}"))
+        aggs += [at_rank(v, F.floor(pos)).alias(f"_lo_{name}"), at_rank(v, F.ceil(pos)).alias(f"_hi_{name}"),
+                 F.max(pos - F.floor(pos)).alias(f"_f_{name}")]
     out = r.groupBy(*by).agg(*aggs)
     return out.select(*by, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n) for n in qs
     ])
 
 
+def exact_medians(df: DataFrame, by: Sequence[str], **values: str) -> DataFrame:
+    """Medians of several columns in one pass: name -> column, ranked side by side as measures."""
+    by = list(by)
+    long = df.select(*by, F.inline(F.array(*[
+        F.struct(F.lit(n).alias("_measure"), F.col(c).cast("double").alias("_value")) for n, c in values.items()])))
+    m = exact_percentiles(long, [*by, "_measure"], "_value", _q=0.5)
+    return m.groupBy(*by).agg(*[F.max(F.when(F.col("_measure") == n, F.col("_q"))).alias(n) for n in values])
+
+
 # ---------------------------------------------------------------- bounded folds
 
 
