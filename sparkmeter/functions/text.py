@@ -162,39 +162,47 @@ def _fnv_bytes(items: np.ndarray, basis: int) -> np.ndarray:
     return h
 
 
-def simhash64(words: Column | str, fallback: Column | str, key: bytes = b"") -> Column:
-    """64-bit similarity fingerprint over words and adjacent pairs, salted by ``key``.
-
-    ``words``: content words; ``fallback``: the tokens used when there are none. Arrow batches go
-    through numpy: each distinct gram is hashed once, bits are added up per row.
-    """
+def fingerprint_rows(words, fallback, salt: bytes) -> np.ndarray:
+    """Fingerprints of one Arrow batch: each distinct gram is hashed once, bits are added up per row."""
+    rows, grams = [], []
+    for r, (w, f) in enumerate(zip(words, fallback)):
+        feats = list(w) if w is not None and len(w) else list(f) if f is not None else []
+        grams += feats + [x + " " + y for x, y in zip(feats, feats[1:])]
+        rows += [r] * (2 * len(feats) - 1 if feats else 0)
+    out = np.zeros(len(words), dtype=np.uint64)
+    if not grams:
+        return out.view(np.int64)
+    uniq, inverse = np.unique(np.array([salt + g.encode() for g in grams], dtype=object), return_inverse=True)
+    longest = max(len(u) for u in uniq)
+    h = np.empty(len(uniq), dtype=np.uint64)
+    step = max(1, 4_000_000 // longest)
+    for s in range(0, len(uniq), step):
+        part = np.array(list(uniq[s:s + step]), dtype=f"S{longest}")
+        h[s:s + step] = (_fnv_bytes(part, FNV_BASIS_HIGH) << np.uint64(32)) | _fnv_bytes(part, FNV_BASIS_LOW)
+    h, rows = h[inverse], np.array(rows)
+    size = np.bincount(rows, minlength=len(out))
+    for bit in range(64):
+        ones = np.bincount(rows, weights=((h >> np.uint64(bit)) & np.uint64(1)).astype(float), minlength=len(out))
+        out |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
+    return out.view(np.int64)
+
+
+def simhash_udf(key: bytes = b""):
     salt = key + b"\x00"
 
     @F.pandas_udf(T.LongType())
     def fingerprint(words: pd.Series, fallback: pd.Series) -> pd.Series:
-        rows, grams = [], []
-        for r, (w, f) in enumerate(zip(words, fallback)):
-            feats = list(w) if w is not None and len(w) else list(f) if f is not None else []
-            grams += feats + [x + " " + y for x, y in zip(feats, feats[1:])]
-            rows += [r] * (2 * len(feats) - 1 if feats else 0)
-        out = np.zeros(len(words), dtype=np.uint64)
-        if grams:
-            uniq, inverse = np.unique(np.array([salt + g.encode() for g in grams], dtype=object), return_inverse=True)
-            # a trailing marker keeps final zero bytes from being trimmed by the fixed-width type
-            longest = max(len(u) for u in uniq)
-            h = np.empty(len(uniq), dtype=np.uint64)
-            step = max(1, 4_000_000 // longest)
-            for s in range(0, len(uniq), step):
-                part = np.array(list(uniq[s:s + step]), dtype=f"S{longest}")
-                h[s:s + step] = (_fnv_bytes(part, FNV_BASIS_HIGH) << np.uint64(32)) | _fnv_bytes(part, FNV_BASIS_LOW)
-            h, rows = h[inverse], np.array(rows)
-            size = np.bincount(rows, minlength=len(out))
-            for bit in range(64):
-                ones = np.bincount(rows, weights=((h >> np.uint64(bit)) & np.uint64(1)).astype(float), minlength=len(out))
-                out |= (2 * ones > size).astype(np.uint64) << np.uint64(bit)
-        return pd.Series(out.view(np.int64))
-
-    return fingerprint(col(words), col(fallback))
+        return pd.Series(fingerprint_rows(words, fallback, salt))
+
+    return fingerprint
+
+
+def simhash64(words: Column | str, fallback: Column | str, key: bytes = b"") -> Column:
+    """64-bit similarity fingerprint over words and adjacent pairs, salted by ``key``.
+
+    ``words``: content words; ``fallback``: the tokens used when there are none.
+    """
+    return simhash_udf(key)(col(words), col(fallback))
 
 
 def fallback_tokens(text: Column | str) -> Column:

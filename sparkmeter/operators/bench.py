@@ -103,7 +103,7 @@ def index_errors(rows: DataFrame, require_verified: bool = True) -> DataFrame:
     """(line, error). rows: the 14 text columns and a line number."""
     c = lambda n: F.coalesce(F.col(n), F.lit(""))
     has = lambda n: c(n) != ""
-    iso = lambda n: c(n).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_date(c(n), F.lit("yyyy-MM-dd")).isNotNull()
+    iso = lambda n: c(n).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & F.try_to_date(c(n), "yyyy-MM-dd").isNotNull()
     seen = rows.where(has("id")).groupBy("id").agg(F.min("line").alias("_first"))
     r = rows.join(seen, "id", "left")
     when = lambda bad, msg: F.when(bad, msg if isinstance(msg, Column) else F.lit(msg))

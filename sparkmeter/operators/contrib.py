@@ -85,22 +85,40 @@ def _rules(*rules: Column) -> Column:
     return F.array_compact(F.array(*rules))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _members(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
 def _keys(v: Column) -> Column:
-    return F.coalesce(F.json_object_keys(F.to_json(v)), F.array().cast("array<string>"))
+    return F.map_keys(_members(v))
+
+
+def _names(keys: Sequence[str]) -> Column:
+    return F.array(*[F.lit(k) for k in keys])
 
 
 def _key_errors(v: Column, where: str, allowed: Sequence[str], required: Sequence[str] | None = None) -> Column:
     """Not an object, unknown keys, missing keys."""
     required = allowed if required is None else required
-    unknown = F.transform(F.array_except(_keys(v), F.array(*[F.lit(k) for k in allowed])), lambda k: F.concat(F.lit(f'{where}: unknown key "'), k, F.lit('"')))
-    missing = F.transform(F.array_except(F.array(*[F.lit(k) for k in required]), _keys(v)), lambda k: F.concat(F.lit(f"{where}: missing "), k))
-    return F.when(~_is(v, "OBJECT"), F.array(F.lit(f"{where}: must be an object"))).otherwise(F.concat(unknown, missing))
+
+    def check(keys: Column) -> Column:
+        unknown = F.transform(F.array_except(keys, _names(allowed)), lambda k: F.concat(F.lit(f'{where}: unknown key "'), k, F.lit('"')))
+        missing = F.transform(F.array_except(_names(required), keys), lambda k: F.concat(F.lit(f"{where}: missing "), k))
+        return F.concat(unknown, missing)
+
+    return F.when(~_is(v, "OBJECT"), F.array(F.lit(f"{where}: must be an object"))).otherwise(_let(_keys(v), check))
 
 
 def _number_errors(v: Column, where: str, keys: Sequence[str], ints: bool = True, low: float = 0, high: float = BIG) -> Column:
     """Only for objects: a non-object already has its own message."""
-    bad = _rules(*[_when(_bad_number(_at(v, f"$.{k}"), ints, low, high), f"{where}.{k}: bad number") for k in keys])
-    return F.when(_is(v, "OBJECT"), bad).otherwise(F.array().cast("array<string>"))
+    bad = _let(_members(v), lambda m: F.filter(_names(keys), lambda k: _bad_number(F.try_element_at(m, k), ints, low, high)))
+    named = F.transform(bad, lambda k: F.concat(F.lit(f"{where}."), k, F.lit(": bad number")))
+    return F.when(_is(v, "OBJECT"), named).otherwise(F.array().cast("array<string>"))
 
 
 def _member_errors(v: Column, where: str, keys: Sequence[str], ints: bool = True, high: float = BIG) -> Column:
@@ -117,7 +135,7 @@ def _pairs(v: Column) -> Column:
 
 def _then(errors: Column, more: Column) -> Column:
     """Consistency rules run only on documents without errors so far."""
-    return F.when(F.size(errors) == 0, more).otherwise(errors)
+    return _let(errors, lambda e: F.when(F.size(e) == 0, more).otherwise(e))
 
 
 def _n(v: Column, path: str) -> Column:
@@ -241,8 +259,11 @@ def agent_errors(d: Column) -> Column:
     return _then(errors, _rules(_when(_n(t, "$.processed_input") != _n(t, "$.input") + _n(t, "$.cache_read") + _n(t, "$.cache_write"), "consistency: processed_input")))
 
 
-def validate(contributions: DataFrame, schema: str = SCHEMA) -> DataFrame:
-    """Adds ``errors``. contributions: payload JSON text."""
+RULES = {"skeleton": skeleton_errors, "ledger": ledger_errors, "agent": agent_errors}
+
+
+def validate(contributions: DataFrame, schema: str = SCHEMA, kinds: Sequence[str] = tuple(RULES)) -> DataFrame:
+    """Adds ``errors``. contributions: payload JSON text. A table kept per kind needs only that kind's rules."""
     v = F.col("_v")
     head = F.concat(
         _key_errors(v, "payload", ["schema", "kind", "client", "version", "data"]),
@@ -250,18 +271,19 @@ def validate(contributions: DataFrame, schema: str = SCHEMA) -> DataFrame:
                _when(~F.coalesce(_str(_at(v, "$.client")).isin("web", "cli"), F.lit(False)), "payload.client: unknown"),
                _when(~F.coalesce(_str(_at(v, "$.version")).rlike(VERSION), F.lit(False)), "payload.version: bad")))
     kind, d = _str(_at(v, "$.kind")), _at(v, "$.data")
-    body = F.when(kind == "skeleton", skeleton_errors(d)).when(kind == "ledger", ledger_errors(d)).when(kind == "agent", agent_errors(d)) \
-        .otherwise(F.array(F.lit("payload.kind: unknown")))
+    body = F.array(F.lit("payload.kind: unknown"))
+    for k in kinds:
+        body = F.when(kind == k, RULES[k](d)).otherwise(body)
     size = F.octet_length(F.to_json(v))
     errors = F.when(v.isNull(), F.array(F.lit("not serializable"))) \
         .when(size > MAX_BYTES, F.array(F.concat(F.lit("too large ("), size.cast("string"), F.lit(f" bytes > {MAX_BYTES})")))) \
-        .when(F.size(head) > 0, head).otherwise(body)
+        .otherwise(_let(head, lambda h: F.when(F.size(h) > 0, h).otherwise(body)))
     return contributions.withColumn("_v", F.try_parse_json("payload")).withColumn("errors", errors).drop("_v")
 
 
-def valid(contributions: DataFrame, schema: str = SCHEMA) -> DataFrame:
+def valid(contributions: DataFrame, schema: str = SCHEMA, kinds: Sequence[str] = tuple(RULES)) -> DataFrame:
     """Stored data is validated again on read."""
-    return validate(contributions, schema).where(F.size("errors") == 0).drop("errors")
+    return validate(contributions, schema, kinds).where(F.size("errors") == 0).drop("errors")
 
 
 # ---------------------------------------------------------------- builders
