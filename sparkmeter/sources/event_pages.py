@@ -25,7 +25,8 @@ def event_lines(pages: DataFrame) -> DataFrame:
     """
     lenient = {"allowUnquotedControlChars": "true"}
     wrapped = F.from_json("raw", "array<struct<text:string>>", lenient)
-    texts = F.coalesce(F.transform(F.filter(wrapped, lambda b: b["text"].isNotNull()), lambda b: b["text"]), F.array("raw"))
+    inside = F.transform(F.filter(wrapped, lambda b: b["text"].isNotNull()), lambda b: b["text"])
+    texts = F.coalesce(F.when(F.trim("raw").startswith("["), inside), F.array("raw"))
     one = pages.select("session_id", "page", F.posexplode(texts).alias("part", "t"))
     body = F.when(F.trim("t").startswith("{"), F.col("t")).otherwise(F.substring("t", F.greatest(F.locate('{"ccr"', "t"), F.lit(1)), F.lit(2_000_000_000)))
     events = F.from_json(body, "ccr struct<data:array<variant>>", lenient)["ccr"]["data"]
