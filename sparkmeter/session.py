@@ -15,6 +15,8 @@ def local_session(cores: str = "8", app: str = "sparkmeter") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # text work is heavy per byte: small shuffles stay spread over the cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SPARKMETER_DRIVER_MEMORY", "12g"))
         .getOrCreate()

@@ -11,9 +11,23 @@ from ..functions import text as tx
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in ("documents", "conversations", "pages"):
+        df = spread(df)
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core text to work on when the input is too small for its splits to do so.
+
+    A small file may be one row group, hence one task, however many cores wait. Inputs larger than one
+    split per core are left alone: at scale this adds no shuffle.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * (128 << 20) else df
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, idx, role, text, tokens) of user and assistant turns with text."""
     c = load(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
