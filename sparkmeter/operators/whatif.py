@@ -94,20 +94,31 @@ def replay(ser: DataFrame, scenarios: list[Scenario], block_rows: int = 20_000)
     guess = F.array(*[_state(F.col("prev"), zero, zero, zero, zero) for _ in scenarios])
     item = F.struct(F.col("context").alias("x"), F.col("prev").alias("prev"), F.col("nth").alias("nth"))
 
+    def let(value: Column, body) -> Column:
+        """Bind a value once; lambda bodies are evaluated as written, without common subexpressions."""
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    no = F.lit(False)
+
     def one(st: Column, r: Column, e: Column) -> Column:
         d = e["x"] - e["prev"]
         dropped = F.when(st["s"] >= COMPACT_IF_AT_LEAST * e["prev"], F.least(st["s"], e["x"])).otherwise(st["s"])
-        cont = F.when(d >= 0, st["s"] + d).otherwise(dropped)
-        begun = r["fresh"] + F.greatest(zero, d)
-        due = (F.coalesce(e["nth"] % r["every"] == 0, F.lit(False)) | F.coalesce(st["s"] > r["threshold"], F.lit(False))) & F.coalesce(e["nth"] > 0, F.lit(False))
-        go = due & (begun < cont)
-        landed = r["post"] + F.least(d, r["ceiling"])
-        full = ~go & (d >= 0) & (cont > r["ceiling"]) & (landed < cont)
-        start = e["prev"].isNull()
-        s = F.when(start, e["x"]).when(go, begun).when(full, landed).otherwise(cont)
-        extra = F.when(F.coalesce(full, F.lit(False)), cont).otherwise(zero)
-        return _state(s, st["total"] + s + extra, st["restarts"] + F.coalesce(go, F.lit(False)).cast("bigint"),
-                      st["compactions"] + F.coalesce(full, F.lit(False)).cast("bigint"), F.greatest(st["peak"], s))
+        reach = F.struct(d.alias("d"), F.when(d >= 0, st["s"] + d).otherwise(dropped).alias("cont"),
+                         (r["fresh"] + F.greatest(zero, d)).alias("begun"), (r["post"] + F.least(d, r["ceiling"])).alias("landed"))
+
+        def choose(v: Column) -> Column:
+            due = (e["nth"] > 0) & (F.coalesce(e["nth"] % r["every"] == 0, no) | F.coalesce(st["s"] > r["threshold"], no))
+            go = F.coalesce(due & (v["begun"] < v["cont"]), no)
+            full = F.coalesce((v["d"] >= 0) & (v["cont"] > r["ceiling"]) & (v["landed"] < v["cont"]), no)
+            # 0 first call, 1 restart, 2 compaction, 3 go on
+            return let(F.when(v["d"].isNull(), 0).when(go, 1).when(full, 2).otherwise(3), lambda c: settle(v, c))
+
+        def settle(v: Column, c: Column) -> Column:
+            s = F.when(c == 0, e["x"]).when(c == 1, v["begun"]).when(c == 2, v["landed"]).otherwise(v["cont"])
+            return let(s, lambda s: _state(s, st["total"] + s + F.when(c == 2, v["cont"]).otherwise(zero), st["restarts"] + F.when(c == 1, 1).otherwise(0),
+                                           st["compactions"] + F.when(c == 2, 1).otherwise(0), F.greatest(st["peak"], s)))
+
+        return let(reach, choose)
 
     def step(state: Column, e: Column, p: Column) -> Column:
         return F.zip_with(state, p["_rules"], lambda st, r: one(st, r, e))

@@ -8,7 +8,7 @@ from ..functions import intent as it
 from ..functions import numbers as num
 from ..functions import text as tx
 from ..sources import tables
-from .registry import CJK, MARKED, NW, SPACE, TURNS, W, query, tokens_sql, with_views
+from .registry import MARKED, NW, SPACE, TURNS, query, tokens_sql, with_views
 
 
 @query("token_estimates", f"SELECT doc_id, {tokens_sql('text')} AS tokens FROM documents")
@@ -58,11 +58,16 @@ def content_words(spark, sf):
     return per.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
 
-@query("korean_stems")
+_LATIN, _HANGUL = "abcdefghijklmnopqrstuvwxyz", "갑낭닥락막박삭악작착칵탁팍학곡녹독록목복속옥족촉콕톡"
+
+
+@query("korean_stems", f"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM documents)
+SELECT translate(w, '{_LATIN}', '{_HANGUL}') AS stem, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY 1""")
 def korean_stems(spark, sf):
-    """Endings written onto words of the table, then stripped again."""
-    w = tables.load(spark, sf, "documents").select("doc_id", F.explode(F.array(*[F.lit("데이터" + s) for s in ("에서는", "은", "입니다", "")])).alias("w"))
-    return w.groupBy(F.element_at(tx.content_words("w"), 1).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
+    """The table's words spelled in Hangul with a particle attached; stripping gives the stems back."""
+    w = tables.load(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w"))
+    hangul = F.concat(F.translate("w", _LATIN, _HANGUL), F.lit("에서는"))
+    return w.groupBy(tx._strip_suffix(hangul).alias("stem")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("languages", """WITH c AS (SELECT doc_id, 2.0 * length(regexp_replace(text, '[^가-힣]', '', 'g')) AS ko, 2.0 * length(regexp_replace(text, '[^぀-ヿ]', '', 'g')) AS ja,
