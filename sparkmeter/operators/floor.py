@@ -17,7 +17,10 @@ LINE_ORDER = ["at", "rank", "pos"]
 def judged_results(uses: DataFrame, order: list[str] = ("result_ord",)) -> DataFrame:
     """Results labelled W1 (same call, same result, same epoch as the previous one) or W2 (error)."""
     state = F.struct("result_hash", F.col("result_epoch").alias("e"))
-    rows = scale.scan(uses.where("has_result"), ["session_id", "ctx_key", "name", "input_sig"], list(order),
+    rows = uses.where("has_result")
+    if "result_blk" in rows.columns:  # results are ordered by arrival, so their own block counts
+        rows = rows.withColumn(scale.BLOCK, F.col("result_blk"))
+    rows = scale.scan(rows, ["session_id", "ctx_key", "name", "input_sig"], list(order),
                       _prev=scale.previous(state))
     cat = F.when(F.col("_prev") == state, "W1").when(F.col("is_error"), "W2")
     return rows.withColumn("category", cat).drop("_prev")

@@ -20,8 +20,8 @@ WRITERS = ["Edit", "Write", "MultiEdit", "NotebookEdit"]
 # ---------------------------------------------------------------- scan
 
 
-def read_agent_logs(spark: SparkSession, paths: list[str], since: str | None = None) -> DataFrame:
-    """Raw lines of ``*.jsonl`` files: (session_id, file, at, rank, pos, value).
+def read_agent_logs(spark: SparkSession, paths: list[str], since: str | None = None, hot_rows: int = scale.HOT_MIN_ROWS) -> DataFrame:
+    """Raw lines of ``*.jsonl`` files: (session_id, file, at, rank, pos, value), in blocks where a session is large.
 
     ``since`` keeps files modified after that time (the reader prunes them before opening).
     """
@@ -35,7 +35,7 @@ def read_agent_logs(spark: SparkSession, paths: list[str], since: str | None = N
     raw = reader.text(paths).select("value", path.alias("file"), pos.alias("pos"))
     side = F.regexp_extract("file", r"^(.*)/subagents/[^/]+\.jsonl\z", 1)
     raw = raw.withColumn("session_id", F.when(side != "", side).otherwise(F.regexp_replace("file", r"\.jsonl\z", "")))
-    return merge_subagents(raw)
+    return scale.with_blocks(merge_subagents(raw), ["session_id"], "at", hot_rows)
 
 
 def merge_subagents(raw: DataFrame) -> DataFrame:
@@ -228,8 +228,9 @@ def tool_uses(indexed: DataFrame) -> DataFrame:
     uses = _first_by(uses, ["session_id", "use_id"], [*ORDER, "bpos"])
     uses = uses.withColumn("k", F.greatest(F.lit(0), F.col("main_calls") - 1))
 
+    result_block = [F.col(scale.BLOCK).alias("result_blk")] if scale.BLOCK in indexed.columns else []
     res = indexed.where((F.col("type") == "user") & F.col("blocks").isNotNull()).select(
-        "session_id", *ORDER, "epoch", "instr", "main_calls", "ctx_calls", F.posexplode("blocks").alias("bpos", "b"))
+        "session_id", *ORDER, "epoch", "instr", "main_calls", "ctx_calls", *([scale.BLOCK] if result_block else []), F.posexplode("blocks").alias("bpos", "b"))
     content = F.try_variant_get(b, "$.content", "variant")
     items = F.try_variant_get(content, "$", "array<variant>")
     by_block = F.aggregate(
@@ -240,7 +241,7 @@ def tool_uses(indexed: DataFrame) -> DataFrame:
     res = res.where(block_type(b) == "tool_result").select(
         "session_id", F.try_variant_get(b, "$.tool_use_id", "string").alias("use_id"), *ORDER, "bpos",
         F.col("epoch").alias("result_epoch"), F.col("instr").alias("result_instr"),
-        F.col("main_calls").alias("result_at"), F.col("ctx_calls").alias("result_ctx_at"),
+        F.col("main_calls").alias("result_at"), F.col("ctx_calls").alias("result_ctx_at"), *result_block,
         F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
         F.when(items.isNotNull(), by_block).otherwise(tx.estimate_tokens(whole)).alias("result_tokens"),
         tx.estimate_tokens(whole).alias("text_tokens"),
@@ -250,7 +251,7 @@ def tool_uses(indexed: DataFrame) -> DataFrame:
     )
     res = _first_by(res, ["session_id", "use_id"], [*ORDER, "bpos"]).select(
         "session_id", "use_id", F.struct(*ORDER, "bpos").alias("result_ord"), "result_epoch", "result_instr", "result_at",
-        "result_ctx_at", "is_error", "result_tokens", "text_tokens", "images", "result_hash", "result_text")
+        "result_ctx_at", "is_error", "result_tokens", "text_tokens", "images", "result_hash", "result_text", *(["result_blk"] if result_block else []))
     out = uses.join(res, ["session_id", "use_id"], "left")
     return out.withColumns({
         "has_result": F.col("result_ord").isNotNull(),
