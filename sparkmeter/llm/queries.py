@@ -33,6 +33,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_ngram_jaccard")
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import link_classes
+
+    return link_classes(table(spark, sf_dir, "documents"))
+
+
 @query("op2_winnowing")
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fingerprints as fp
