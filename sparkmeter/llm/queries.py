@@ -67,3 +67,15 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = ld.drop_boilerplate(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "text", F.col("_lines").alias("lines"), F.col("_dropped").alias("dropped"))
+
+
+@query("op10_warc_index", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""")
+def op10_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
