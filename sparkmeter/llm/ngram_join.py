@@ -24,6 +24,8 @@ PAIRS = ((0, 1), (0, 2), (1, 2))
 SKETCH = 8  # longs of parity bits
 #: A signature with more than this share of all rows is dealt over SALTS tasks.
 HOT_SHARE, SALTS, LOOK = 0.001, 64, 0.02
+#: Three longs a row: about 50 MB in memory.
+BROADCAST_ROWS = 1_000_000
 _SET = "key1 long, key2 long, n_shingles long, " + ", ".join(f"p{i} long" for i in range(SKETCH))
 
 
@@ -126,13 +128,15 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     nodes = save(nodes.withColumn("node", F.when(F.col("odd"), -1 - F.col("key1").bitwiseAND(F.lit((1 << 62) - 1))).otherwise(F.col("doc_id"))).drop("odd"), "nodes")
     copies = sets.select("key1", "key2", F.col("doc_id").alias("other")).join(nodes.select("key1", "key2", "doc_id", "node"), ["key1", "key2"])
 
-    # one row for each node: the copies that are not the named one are few or many, and joined accordingly
+    # one row for each node: copies beside the named one go, by a broadcast while they are few
     others = save(copies.where(~F.col("other").eqNullSafe(F.col("doc_id")) | (F.col("node") < 0)).select("key1", "key2", F.col("other").alias("doc_id")), "copies")
-    alone = sets.join(others, (sets.doc_id.eqNullSafe(others.doc_id)) & (sets.key1 == others.key1) & (sets.key2 == others.key2), "left_anti").select(F.col("doc_id").alias("node"), "signatures")
-    odd = nodes.where("node < 0").select("key1", "key2", "node").join(sets, ["key1", "key2"]).groupBy("node").agg(F.first("signatures").alias("signatures"))
+    few = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
+    alone = sets.join(few, (sets.doc_id.eqNullSafe(others.doc_id)) & (sets.key1 == others.key1) & (sets.key2 == others.key2), "left_anti").select(F.col("doc_id").alias("node"), "signatures")
+    odd = save(nodes.where("node < 0").select("key1", "key2", "node"), "odd_nodes").join(sets, ["key1", "key2"]).groupBy("node").agg(F.first("signatures").alias("signatures"))
     rows = alone.union(odd).select(F.explode("signatures").alias("sig"), "node")
 
-    look = rows.sample(LOOK, seed=1).groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    seen = sets.sample(LOOK, seed=1).dropDuplicates(["key1", "key2"]).select(F.explode("signatures").alias("sig"))
+    look = seen.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
     total = sets.agg(F.sum(F.size("signatures"))).first()[0] or 0
     hot = [r.sig for r in look.where(F.col("n") > max(20, HOT_SHARE * LOOK * total)).select("sig").limit(int(1 / HOT_SHARE)).collect()]
     salt = F.when(F.col("sig").isin(hot), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
