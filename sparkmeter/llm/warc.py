@@ -259,7 +259,8 @@ def read_captures(path: str, index: DataFrame) -> DataFrame:
 
     An archive is read from front to back in one task; archives have a size limit, and so has a task's work.
     """
-    return index.select("archive", "at", "bytes").repartition("archive").sortWithinPartitions("archive", "at").mapInArrow(_reader(path), _READ)
+    tasks = max(1, min(index.select("archive").distinct().count(), 10_000))
+    return index.select("archive", "at", "bytes").repartition(tasks, "archive").sortWithinPartitions("archive", "at").mapInArrow(_reader(path), _READ)
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, range_captures: int = RANGE_CAPTURES) -> DataFrame:
