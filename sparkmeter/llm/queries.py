@@ -47,7 +47,7 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fp.edited_fingerprints(table(spark, sf_dir, "documents"))
     rows = rows.withColumns({"a": fp.hashes(F.col("fp")), "b": fp.hashes(F.col("edited_fp")), "c": fp.hashes(F.col("next_fp"))})
     return rows.select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "doc_id", "n_chars", "edited_sha256",
         fp.digest(F.col("fp")).alias("fingerprint"), fp.digest(F.col("edited_fp")).alias("edited_fingerprint"),
         fp.likeness(F.col("a"), F.col("b")).alias("near_edited"), fp.likeness(F.col("a"), F.col("c")).alias("near_next"),
     )
@@ -97,3 +97,19 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_decode
 
     return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op5_string_kernel_svm")
+def op5_string_kernel_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as tx
+
+    docs = table(spark, sf_dir, "documents")
+    model = tx.fit(docs.where(~tx.held_out(F.col("doc_id"))), table(spark, sf_dir, "labels"))
+    return tx.score(docs, model).withColumn("held_out", tx.held_out(F.col("doc_id")))
+
+
+@query("op7_string_tiling")
+def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiling import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
