@@ -113,3 +113,21 @@ def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiling import leaks
 
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+@query("op9_licence_dice")
+def op9_licence_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licences import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+@query("op3_katz_backoff")
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import katz
+
+    docs = table(spark, sf_dir, "documents")
+    held = katz.held_out(F.col("doc_id"))
+    model = katz.train(docs.where(~held))
+    scored = katz.score(docs, model, ~held)
+    return scored.select("doc_id", katz.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
