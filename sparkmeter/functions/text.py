@@ -33,7 +33,7 @@ KO_SUFFIXES = """
 """.split()
 STOP_EN = """
     a an the and or but if then else of to in on at by for with about from into over under as is are was
-    were be been being do does did doing have has had having i me my we our we you your he she it its they
+    were be been being do does did doing have has had having i me my we our you your he she it its they
     them their this that these those there here what which who whom whose when where why how can could
     would should will shall may might must not no yes ok okay so just also very really more most less
     some any all each every both few many much other such only own same than too s t don doesn didn isn

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import scale
 from ..functions.numbers import collapse_tool, percent
-from ..sources.agent_logs import WRITERS
+from ..sources.agent_logs import WRITERS, main_chain
 
 LARGE_RESULT_TOKENS = 2000
 LONG_CONTEXT = 120_000
@@ -75,9 +75,12 @@ PARTS = ("dup", "large", "failed")
 
 
 def audit(calls: DataFrame, uses: DataFrame, order: list[str] = LINE_ORDER, large: int = LARGE_RESULT_TOKENS) -> DataFrame:
-    """One row per session."""
+    """One row per session with main-chain calls; transcripts' sub-agent calls are only counted, in subagent_calls."""
+    side = calls.where("is_side").groupBy("session_id").agg(F.count(F.lit(1)).alias("subagent_calls")) if "ctx_key" in calls.columns else None
+    calls, uses = main_chain(calls), main_chain(uses)
     uses = with_carry(uses, calls)
     out = session_totals(calls)
+    out = out if side is None else out.join(side, "session_id", "left")
     tools = uses.groupBy("session_id").agg(F.count(F.lit(1)).alias("tool_calls"), F.sum("carried_tokens").alias("carried_tokens"))
     comps = calls.groupBy("session_id").agg(F.max("epoch").alias("compactions"))
     out = out.join(tools, "session_id", "left").join(comps, "session_id", "left")

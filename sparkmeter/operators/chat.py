@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -162,82 +163,106 @@ def intents(features: DataFrame, retry: DataFrame | None = None) -> DataFrame:
 THREAD_SCHEMA = "conv_id {key}, idx bigint, branch bigint, depth bigint, edge string, edge_to bigint"
 
 
-def _place(state: dict, role: str, intent: str, idx: int, tokens: int, topics: set, cue: set, retry_of) -> tuple:
-    """Where one turn belongs, given the threads so far. state: threads, now, user, at (turn -> place)."""
-    threads, user = state["threads"], state["user"]
-    if role != "user":
-        if user is None:
+#: Edge of a prompt that stays where the one before it is.
+STAYS = {"correct": "CORRECTS", "continue": "CONTINUES", "ack": "REVISITS"}
+CLINGING_TOKENS = 40
+
+
+class _Agenda:
+    """Threads of one conversation as an index from words to the threads that hold them.
+
+    A turn costs its own words, whatever the number of threads. Kept are words by thread and, for retries, the
+    place of each prompt.
+    """
+
+    def __init__(self):
+        self.holders, self.known = defaultdict(set), set()
+        self.depth, self.last, self.prompts = [], [], {}
+        self.now = self.before = None
+
+    def absorb(self, thread: int, topics, words) -> bool:
+        """Give a thread these words; whether one of the topics is new to it."""
+        new = {(thread, t) for t in topics} - self.known
+        self.known |= new
+        for w in words:
+            self.holders[w].add(thread)
+        return bool(new)
+
+    def opened(self, idx: int, topics, words) -> int:
+        self.depth.append(0)
+        self.last.append(idx)
+        self.absorb(len(self.depth) - 1, topics, words)
+        return len(self.depth) - 1
+
+    def chosen(self, words, clings: bool) -> int | None:
+        """The thread that a prompt's words belong to: the present one if it holds any, else the one that holds most, the earliest of equals."""
+        votes = Counter(t for w in words for t in self.holders.get(w, ()))
+        if clings or self.now in votes:
+            return self.now
+        return min(votes, key=lambda t: (-votes[t], t), default=None)
+
+    def reply(self, topics, cues) -> tuple:
+        if self.before is None:
             return 0, 0, None, None
-        branch, depth = state["at"][user]
-        threads[branch]["topics"] |= topics
-        threads[branch]["cues"] |= cue
-        return branch, depth, "ANSWERS", user
-    cue = cue | topics
-    edge = to = None
-    if user is None:
-        threads.append({"topics": set(topics), "cues": set(cue), "depth": 0, "last": idx})
-        state["now"] = 0
-        place = (0, 0)
-    elif intent == "retry":
-        to = retry_of if retry_of in state["at"] else user
-        place, edge = state["at"][to], "RETRIES"
-        state["now"] = place[0]
-    elif intent in ("correct", "ack", "continue") or not cue:
-        place, to = state["at"][user], user
-        edge = {"correct": "CORRECTS", "continue": "CONTINUES"}.get(intent, "REVISITS")
-        if intent == "correct":
-            threads[place[0]]["topics"] |= topics
-            threads[place[0]]["cues"] |= cue
-    else:
-        here = threads[state["now"]]
-        if cue & here["cues"] or (intent == "clarify" and tokens < 40):
-            edge, to = ("DEEPENS" if topics - here["topics"] else "REVISITS"), here["last"]
+        place = self.prompts[self.before]
+        self.absorb(place[0], topics, cues)
+        return *place, "ANSWERS", self.before
+
+    def prompt(self, idx: int, move: str, intent: str, clings: bool, topics, words, back) -> tuple:
+        edge, to = None, self.before
+        if to is None:
+            self.now = self.opened(idx, topics, words)
+            place = (self.now, 0)
+        elif move == "topic":
+            thread = self.chosen(words, clings)
+            if thread is None:
+                self.now, edge = self.opened(idx, topics, words), "PIVOTS"
+            else:
+                deeper = self.absorb(thread, topics, words)
+                edge = "RETURNS" if thread != self.now else "DEEPENS" if deeper else "REVISITS"
+                self.now, to, self.last[thread] = thread, self.last[thread], idx
+                self.depth[thread] += deeper
+            place = (self.now, self.depth[self.now])
         else:
-            overlap = [(len(cue & t["cues"]), -i) for i, t in enumerate(threads) if i != state["now"]]
-            best = max(overlap, default=(0, 0))
-            if best[0] > 0:
-                state["now"] = -best[1]
-                here = threads[state["now"]]
-                edge, to = "RETURNS", here["last"]
+            if move == "retry":
+                to, edge = back if back in self.prompts else to, "RETRIES"
+                self.now = self.prompts[to][0]
             else:
-                here = {"topics": set(topics), "cues": set(), "depth": 0, "last": idx}
-                threads.append(here)
-                state["now"] = len(threads) - 1
-                edge, to = "PIVOTS", user
-        if topics - here["topics"]:
-            here["depth"] += 1
-        here["topics"] |= topics
-        here["cues"] |= cue
-        here["last"] = idx
-        place = (state["now"], here["depth"])
-    state["at"][idx] = place
-    state["user"] = idx
-    return place[0], place[1], edge, to
+                edge = STAYS.get(intent, "REVISITS")
+            place = self.prompts[to]
+            if intent == "correct":
+                self.absorb(place[0], topics, words)
+        self.prompts[idx], self.before = place, idx
+        return *place, edge, to
 
 
 def threads(nodes: DataFrame, topic_rows: DataFrame, cue_rows: DataFrame) -> DataFrame:
     """(conv_id, idx, branch, depth, edge, edge_to) of every turn.
 
-    The placement is sequential, so conversations are spread by key, sorted, and read as a stream of
-    Arrow batches: a task holds the threads of the conversation it is in, never its rows.
+    What kind of move a turn makes is said by columns. Which thread it then joins depends on all earlier turns, so
+    conversations are spread by key, sorted, and read as a stream: a task holds the words of the threads of the
+    conversation it is in and its prompts' places, not its rows.
     """
     sets = topic_rows.groupBy(*TURN).agg(F.collect_list("word").alias("topics"))
     cue = cue_rows.groupBy(*TURN).agg(F.collect_list("word").alias("cues"))
     rows = nodes.select(*TURN, "role", "intent", "tokens", "retry_of").join(sets, TURN, "left").join(cue, TURN, "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("topics", F.coalesce("topics", none)).withColumn("cues", F.coalesce("cues", none)).withColumn("words", F.array_union("topics", "cues"))
+    move = F.when(F.col("role") != "user", "reply").when(F.col("intent") == "retry", "retry").when(F.col("intent").isin(*STAYS) | (F.size("words") == 0), "stay").otherwise("topic")
+    clings = F.coalesce((F.col("intent") == "clarify") & (F.col("tokens") < CLINGING_TOKENS), F.lit(False))
+    rows = rows.select(*TURN, move.alias("move"), "intent", clings.alias("clings"), "topics", "cues", "words", "retry_of")
     rows = rows.repartition("conv_id").sortWithinPartitions(*TURN)
     key = nodes.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conv, state = None, None
+        conv, agenda = None, None
         for pdf in batches:
             out = []
-            for r in pdf.itertuples(index=False):
-                if state is None or r.conv_id != conv:
-                    conv, state = r.conv_id, {"threads": [], "now": -1, "user": None, "at": {}}
-                back = None if pd.isna(r.retry_of) else int(r.retry_of)
-                p = _place(state, r.role, r.intent, r.idx, r.tokens, set(r.topics if r.topics is not None else ()),
-                           set(r.cues if r.cues is not None else ()), back)
-                out.append((conv, r.idx, *p))
+            for c, idx, move, intent, clings, topics, cues, words, back in zip(*(pdf[x] for x in pdf.columns)):
+                if agenda is None or c != conv:
+                    conv, agenda = c, _Agenda()
+                said = agenda.reply(topics, cues) if move == "reply" else agenda.prompt(idx, move, intent, clings, topics, words, None if pd.isna(back) else int(back))
+                out.append((c, idx, *said))
             res = pd.DataFrame(out, columns=["conv_id", "idx", "branch", "depth", "edge", "edge_to"])
             yield res.astype({"edge_to": "Int64"})
 

@@ -64,8 +64,9 @@ def compactions(messages: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def request_key(provider: Column, body: Column) -> Column:
-    """Digest of a request body (VARIANT or JSON map) without its volatile keys; keys are in sorted order."""
-    m = F.map_filter(F.from_json(body, "map<string,string>"), lambda k, _: ~k.isin(VOLATILE_KEYS))
+    """Digest of a request body (JSON text) without its volatile keys; keys are in sorted order at every depth."""
+    ordered = F.coalesce(F.to_json(F.try_parse_json(body)), body)  # object keys come back sorted
+    m = F.map_filter(F.from_json(ordered, "map<string,string>"), lambda k, _: ~k.isin(VOLATILE_KEYS))
     entries = F.array_sort(F.map_entries(m))
     return F.sha2(F.concat(provider, F.lit("\n"), F.to_json(F.struct(entries.alias("e")))), 256)
 

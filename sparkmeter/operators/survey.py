@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import scale
 from ..functions.numbers import collapse_tool, optimal_ceiling, percent
+from ..sources.agent_logs import main_chain
 
 IDLE_GAP_SECONDS = 30 * 60
 CURVE_POINTS = 40
@@ -23,7 +24,8 @@ def quantiles(df: DataFrame, by: list[str], value: str, **qs: float) -> DataFram
 
 
 def measure(calls: DataFrame, uses: DataFrame, instr: DataFrame) -> DataFrame:
-    """One row per session: counts, token sums, context shares, span."""
+    """One row per session: counts, token sums, context shares, span, all of the main chain."""
+    calls, uses = main_chain(calls), main_chain(uses)
     shares = [F.sum(F.when(F.col("context") >= k * 1000, F.col("context"))).alias(f"_{k}") for k in (200, 400, 600)]
     m = calls.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("api_calls"), F.sum("context").alias("input_processed"),
@@ -50,7 +52,7 @@ def tool_counts(uses: DataFrame, n: int = 25) -> DataFrame:
 
 
 def per_instruction(calls: DataFrame) -> DataFrame:
-    return calls.where("instr >= 1").groupBy("session_id", "instr").agg(
+    return main_chain(calls).where("instr >= 1").groupBy("session_id", "instr").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("context").alias("input"))
 
 
@@ -62,7 +64,8 @@ def active_hours(stamped: DataFrame, order: list[str] = ("ts",)) -> DataFrame:
 
 
 def context_curve(calls: DataFrame) -> DataFrame:
-    """(session_id, point, k, context) at 40 evenly spaced calls."""
+    """(session_id, point, k, context) at 40 evenly spaced calls of the main chain."""
+    calls = main_chain(calls)
     n = calls.groupBy("session_id").agg((F.max("k") + 1).alias("n"))
     points = n.select("session_id", F.posexplode(F.sequence(F.lit(0), F.lit(CURVE_POINTS - 1))).alias("point", "_i"), "n")
     at = F.bround(F.col("point") * (F.col("n") - 1) / F.lit(float(CURVE_POINTS - 1)), 0).cast("bigint")
@@ -77,8 +80,8 @@ def subagent_rollup(calls: DataFrame) -> DataFrame:
 
 
 def decomposed_calls(calls: DataFrame, base: DataFrame | None = None, order: list[str] = ("k",)) -> DataFrame:
-    """Every call's context as fixed base, carried over from earlier instructions, and current."""
-    c = scale.scan(calls, ["session_id"], list(order), _pi=scale.previous(F.col("instr")),
+    """Every main-chain call's context as fixed base, carried over from earlier instructions, and current."""
+    c = scale.scan(main_chain(calls), ["session_id"], list(order), _pi=scale.previous(F.col("instr")),
                    _base=scale.last_known(F.when(F.col("k") == 0, F.col("context"))))
     opens = F.col("_pi").isNull() | (F.col("_pi") != F.col("instr"))
     c = scale.scan(c, ["session_id"], list(order), _start=scale.last_known(F.when(opens, F.col("context"))))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scale
+from ..sources.agent_logs import main_chain
 from .survey import observed_post
 
 # --- fixed values ---------------------------------------------------------------------------
@@ -58,7 +59,8 @@ def _state(s: Column, total: Column, restarts: Column, compactions: Column, peak
 
 
 def series(calls: DataFrame, base: DataFrame | None = None, order: list[str] = ("k",)) -> DataFrame:
-    """Per call: context, change, instruction position; per session: base, peak, post size."""
+    """Per main-chain call: context, change, instruction position; per session: base, peak, post size."""
+    calls = main_chain(calls)
     c = scale.scan(calls, ["session_id"], list(order), prev=scale.previous(F.col("context")), _pi=scale.previous(F.col("instr")))
     opens = F.col("_pi").isNull() | (F.col("_pi") != F.col("instr"))
     c = c.withColumn("opens", opens)

@@ -416,8 +416,8 @@ def ledger_daily(spark, sf):
 
 @query("canonical_request_keys", "SELECT key_count FROM (SELECT CAST(count(DISTINCT (user_id, event_type)) AS BIGINT) AS key_count FROM events)")
 def canonical_request_keys(spark, sf):
-    """Bodies that differ only in volatile keys and key order have one key."""
+    """Bodies that differ only in volatile keys and in key order, also inside messages, have one key."""
     ev = tables.load(spark, sf, "events")
-    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"model":"m'), F.col("user_id").cast("string"), F.lit('","prompt":"'), "event_type", F.lit('","stream":true}'))) \
-        .otherwise(F.concat(F.lit('{"user":"u","prompt":"'), "event_type", F.lit('","model":"m'), F.col("user_id").cast("string"), F.lit('"}')))
+    body = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"model":"m'), F.col("user_id").cast("string"), F.lit('","messages":[{"role":"user","content":"'), "event_type", F.lit('"}],"stream":true}'))) \
+        .otherwise(F.concat(F.lit('{"user":"u","messages":[{"content":"'), "event_type", F.lit('","role":"user"}],"model":"m'), F.col("user_id").cast("string"), F.lit('"}')))
     return ev.select(ledger.request_key(F.lit("openai"), body).alias("k")).agg(F.count_distinct("k").alias("key_count"))

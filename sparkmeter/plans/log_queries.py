@@ -105,6 +105,49 @@ def log_audit(spark, sf):
     return audit.audit(al.calls(ix), al.tool_uses(ix)).select("session_id", "api_calls", "processed_input", "peak_context")
 
 
+def with_side_lines(spark, sf):
+    """The same lines with a sub-agent's answer beside every seventh event, and compactions that show only as a summary."""
+    c = tables.calls(spark, sf)
+    sid, iso = F.col("session_id").cast("string"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), L("Z"))
+    usage = F.struct(L(7).alias("input_tokens"), (F.col("context") + 90_000).alias("cache_read_input_tokens"), L(0).alias("cache_creation_input_tokens"), L(5).alias("output_tokens"))
+    said = F.struct(L("text").alias("type"), L("aside").alias("text"))
+    message = F.struct(F.concat(L("s"), F.col("event_id").cast("string")).alias("id"), L("assistant").alias("role"), F.col("model"), usage.alias("usage"), F.array(said).alias("content"))
+    lines = F.array(
+        F.when(F.col("event_id") % 70 == 35, _json(type=L("user"), sessionId=sid, timestamp=iso, isCompactSummary=L(True), message=F.struct(L("user").alias("role"), L("summary so far").alias("content")))),
+        F.when(F.col("is_side"), _json(type=L("assistant"), sessionId=sid, timestamp=iso, isSidechain=L(True), agentId=L("a1"), message=message)))
+    more = c.select(sid.alias("session_id"), F.unix_micros("ts").alias("at"), "event_id", F.posexplode(lines).alias("p", "value")).where("value IS NOT NULL")
+    # before the event's own lines
+    more = more.select("session_id", "at", L(0).cast("bigint").alias("rank"), (F.col("event_id") * 10 - 2 + F.col("p")).alias("pos"), "value")
+    return raw_lines(spark, sf).unionByName(more)
+
+
+def side_indexed(spark, sf, audit_mode=False):
+    return al.index_lines(al.parse_lines(with_side_lines(spark, sf)), audit_mode)
+
+
+SIDE = f"""{CALLS},
+marked AS (SELECT *, CASE WHEN is_compact = 1 OR event_id % 70 = 35 THEN 1 ELSE 0 END AS cut FROM calls)"""
+
+
+@query("log_audit_with_subagents", with_views(SIDE, """SELECT session_id::VARCHAR AS session_id, CAST(count(*) AS BIGINT) AS api_calls, CAST(sum(context) AS BIGINT) AS processed_input, max(context) AS peak_context,
+  CAST(sum(cut) AS BIGINT) AS compactions, CAST(sum((event_id % 7 = 0)::INT) AS BIGINT) AS subagent_calls FROM marked GROUP BY 1"""))
+def log_audit_with_subagents(spark, sf):
+    """Sub-agent calls stay apart, and summaries without a boundary count as compactions."""
+    ix = side_indexed(spark, sf, audit_mode=True)
+    return audit.audit(al.calls(ix), al.tool_uses(ix)).select("session_id", "api_calls", "processed_input", "peak_context", "compactions", "subagent_calls")
+
+
+@query("log_instructions_with_subagents", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, instr, CAST(count(*) AS BIGINT) AS calls, CAST(sum(context) AS BIGINT) AS input FROM calls WHERE instr >= 1 GROUP BY 1, 2"))
+def log_instructions_with_subagents(spark, sf):
+    return survey.per_instruction(al.calls(side_indexed(spark, sf)))
+
+
+@query("log_measures_with_subagents", with_views(CALLS, """SELECT session_id::VARCHAR AS session_id, CAST(count(*) AS BIGINT) AS api_calls, CAST(sum(context) AS BIGINT) AS input_processed, max(context) AS peak_context, CAST(sum(cache_read) AS BIGINT) AS cache_read FROM calls GROUP BY 1"""))
+def log_measures_with_subagents(spark, sf):
+    ix = side_indexed(spark, sf)
+    return survey.measure(al.calls(ix), al.tool_uses(ix), al.instructions(ix)).select("session_id", "api_calls", "input_processed", "peak_context", "cache_read")
+
+
 @query("log_steps_on_waste")
 def log_steps_on_waste(spark, sf):
     """No step here is without text, so each response is checked and none qualifies once text counts; the

@@ -273,6 +273,6 @@ def fold(df: DataFrame, by: Sequence[str], index: str, item: Column, params: Seq
         nxt = done.join(handed, [*by, "_b"]).withColumn("_h", F.coalesce("_h", "_in"))
         moved = nxt.withColumn("_moved", ~F.col("_h").eqNullSafe(F.col("_in")))
         if moved.where("_moved").isEmpty():
-            break
+            return done.select(*by, "_b", F.col("_out").alias("state"))
         done = replay(moved.withColumn("_in", F.col("_h")).drop("_h", "_moved", "_out")).checkpoint()
-    return done.select(*by, "_b", F.col("_out").alias("state"))
+    raise RuntimeError(f"the fold did not settle in {max_rounds} rounds")

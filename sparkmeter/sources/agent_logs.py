@@ -144,9 +144,22 @@ def index_lines(lines: DataFrame, audit_mode: bool = False) -> DataFrame:
                     call_k=scale.last_known(F.when(F.col("is_call"), F.col("_calls") - 1)))
     main = (F.col("is_call") & ~F.col("is_side")).cast("bigint")
     df = scale.scan(df, ["session_id"], ORDER, main_calls=scale.running_sum(main),
-                    epoch=scale.running_sum(F.col("is_boundary").cast("bigint")),
                     instr=scale.running_sum(F.col("is_instr").cast("bigint")))
-    return df.withColumnRenamed("_calls", "ctx_calls").drop("_nth")
+    compacts = F.col("is_boundary")
+    if audit_mode:  # a summary is a compaction too, unless one is already marked at its call index
+        mark = (F.col("is_boundary") | F.col("is_summary")).cast("bigint")
+        df = scale.scan(df, ["session_id", "main_calls"], ORDER, _marks=scale.running_sum(mark, inclusive=False))
+        compacts = compacts | (F.col("is_summary") & (F.coalesce("_marks", F.lit(0)) == 0))
+    df = scale.scan(df, ["session_id"], ORDER, epoch=scale.running_sum(compacts.cast("bigint")))
+    return df.withColumnRenamed("_calls", "ctx_calls").drop("_nth", "_marks")
+
+
+def main_chain(df: DataFrame) -> DataFrame:
+    """Rows of the main chain of transcripts; frames without contexts are main chains already.
+
+    Sub-agents have contexts of their own, in which calls count from 0 again.
+    """
+    return df.where(~F.col("is_side")) if {"is_side", "ctx_key"} <= set(df.columns) else df
 
 
 # ---------------------------------------------------------------- silver tables
@@ -208,7 +221,7 @@ def text_of(content: Column) -> Column:
 def tool_uses(indexed: DataFrame) -> DataFrame:
     """One row per tool use with its first result. Uses without a result are kept."""
     b = F.col("b")
-    carry = ["session_id", "ctx_key", *ORDER, "epoch", "instr", "main_calls", "ctx_calls", "call_k"]
+    carry = ["session_id", "ctx_key", "is_side", *ORDER, "epoch", "instr", "main_calls", "ctx_calls", "call_k"]
     carry += [scale.BLOCK] if scale.BLOCK in indexed.columns else []
     uses = indexed.where((F.col("type") == "assistant") & F.col("blocks").isNotNull()).select(
         *carry, F.posexplode("blocks").alias("bpos", "b"))

@@ -52,16 +52,13 @@ def test_export_shapes(spark):
                    (3, "openai-messages", 0, "user", "one"), (3, "gemini", 0, "user", "two")]
 
 
-def test_role_marked_text_and_table_function(spark):
-    from sparkmeter.functions.register import register_functions, register_table_functions
+def test_role_marked_text_and_sql_functions(spark):
+    from sparkmeter.functions.register import register_functions
 
     t = "**User**: hello\nthere\n\n## Assistant\nhi: ok\n질문: 또\nAI： yes"
     got = [(r["role"], r["text"]) for r in chats.role_marked(spark.createDataFrame([(1, t)], "doc_id int, text string")).orderBy("idx").collect()]
     assert got == [("user", "hello\nthere"), ("assistant", "hi: ok"), ("user", "또"), ("assistant", "yes")]
     register_functions(spark)
-    register_table_functions(spark)
-    spark.createDataFrame([(t,)], "t string").createOrReplaceTempView("pasted")
-    assert [(r[0], r[1]) for r in spark.sql("select f.role, f.body from pasted, lateral role_marked_turns(t) f order by idx").collect()] == got
     r = spark.sql("select estimate_tokens('abcd efgh') a, classify_user_turn('Thanks!', 2, false, false, false) b, classify_reply('Which one?', 3, false) c, scrub_pii('x a@b.co') d").first()
     assert (r["a"], r["b"], r["c"], r["d"].strip()) == (3, "ack", "followup_question", "x")
 
