@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .shared import save
 
 MAX_ROUNDS = 100
@@ -17,6 +18,7 @@ def components(links: DataFrame) -> DataFrame:
     are combined before the shuffle and Spark splits the joins of a node with many neighbours. Rounds are written
     to the shared folder; the driver sees two numbers of each.
     """
+    prepare(links.sparkSession)
     edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     for _ in range(MAX_ROUNDS):

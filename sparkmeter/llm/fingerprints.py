@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare
+
 GRAM, WINDOW = 16, 16
 #: Hash and position share one long, so that one minimum finds the smallest hash and, of equal ones, the rightmost:
 #: below the hash stands how far a gram's first byte, at four bytes a code point, is from the end of the longest text.
@@ -119,6 +121,7 @@ def with_following(docs: DataFrame, key: str, cols: list[str]) -> tuple[DataFram
     the columns), the last row's being the first, and no window holds more than one range. Ranges are
     2**BUCKET_BITS key values wide; the order of ranges is found from their numbers alone.
     """
+    prepare(docs.sparkSession)
     rows = docs.select(F.shiftright(F.coalesce(F.col(key), F.lit(-(2**63))), BUCKET_BITS).alias("_bucket"), F.lit(0).alias("_copy"), F.coalesce(F.col(key), F.lit(-(2**63))).alias("_key"), key, *cols)
     row = F.struct("_key", key, *cols)
     first = rows.groupBy("_bucket").agg(F.min_by(row, F.struct("_key", *cols)).alias("_row"))

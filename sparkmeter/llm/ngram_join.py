@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import prepare
 from .components import components
 from .shared import save
 from .words import chunks, lists, longs, mix, shingles, words
@@ -117,6 +118,7 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     different components, and of these the pairs whose parity bits don't rule a link out. Every pair is checked on
     the real sets. So a group of copies costs its size, not its square, and no link between components is lost.
     """
+    prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     every = save(docs.mapInArrow(_sets(k, num, den, "signatures"), f"doc_id long, {_SET}, signatures array<long>"), "sets")
     sets = every.where("n_shingles > 0")
