@@ -11,6 +11,8 @@ alone, three and more in a row, are read as one word too.
 from __future__ import annotations
 
 import dataclasses
+import functools
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -32,7 +34,7 @@ TOXIC_WORDS, CLEAN_WORDS, HARD_WORDS, ROUNDS = 1_000, 3_000, 3_000, 2
 #: What the errors on clean words cost, against toxic ones, and errors against a large margin.
 CLEAN_COST, COST = 10.0, 10_000.0
 MIN_TEXTS = 3
-LONGEST, STEP = 24, 12
+LONGEST, STEP = 16, 8
 STEEP = 4.0
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -51,21 +53,11 @@ def _codes(some: list[str]) -> np.ndarray:
     return np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), -1)
 
 
-def _reach(n: int) -> np.ndarray:
-    """Decay from a character to each later one."""
-    d = np.subtract.outer(np.arange(n), np.arange(n)) - 1
-    return np.where(d >= 0, DECAY ** np.maximum(d, 0), 0).astype(np.float32)
-
-
-def _pairs(match: np.ndarray) -> np.ndarray:
-    """Kernel values from matches (..., n, m): weight of common subsequences of ORDER characters over both spans."""
-    n, m = match.shape[-2:]
-    left, right = _reach(n), _reach(m).T.copy()
-    here = match * np.float32(DECAY**2)
-    ends = here
-    for _ in range(ORDER - 1):
-        ends = here * np.matmul(left, np.matmul(ends, right))
-    return ends.sum((-2, -1))
+@functools.lru_cache(maxsize=64)
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all subsequences of ORDER characters in a word of n, and their weights by span."""
+    at = np.array(list(itertools.combinations(range(n), ORDER)), np.int64)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1)).astype(np.float32)
 
 
 def by_length(some: list[str]) -> dict[int, np.ndarray]:
@@ -75,31 +67,70 @@ def by_length(some: list[str]) -> dict[int, np.ndarray]:
     return {n: np.array(which) for n, which in out.items()}
 
 
+@functools.lru_cache(maxsize=64)
+def _reach(n: int) -> np.ndarray:
+    """Decay from a character to each later one."""
+    d = np.subtract.outer(np.arange(n), np.arange(n)) - 1
+    return np.where(d >= 0, DECAY ** np.maximum(d, 0), 0).astype(np.float32)
+
+
 def own_kernel(some: list[str]) -> np.ndarray:
-    out = np.zeros(len(some))
+    """Kernel of each word with itself, by the recursion over the ends of common subsequences."""
+    out = np.zeros(len(some), np.float32)
     for n, which in by_length(some).items():
-        if n >= ORDER:
-            for part in np.array_split(which, -(-len(which) * n * n // 2_000_000)):
-                c = _codes([some[i] for i in part])
-                out[part] = _pairs((c[:, :, None] == c[:, None, :]).astype(np.float32))
+        if n < ORDER:
+            continue
+        left, right = _reach(n), _reach(n).T.copy()
+        for part in np.array_split(which, -(-len(which) * n * n // 400_000)):
+            c = _codes([some[i] for i in part])
+            here = (c[:, :, None] == c[:, None, :]) * np.float32(DECAY**2)
+            ends = here
+            for _ in range(ORDER - 1):
+                ends = here * np.matmul(left, np.matmul(ends, right))
+            out[part] = ends.sum((-2, -1))
     return out
 
 
+@functools.lru_cache(maxsize=8)
+def _marked(marks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The landmarks' characters; the row of each subsequence of these in the table, or -1; weights by landmark; own kernels."""
+    letters = np.unique(_codes(["".join(marks)]))
+    wide = len(letters) + 1
+    found: dict[int, dict[int, float]] = {}
+    for j, m in enumerate(marks):
+        if len(m) >= ORDER:
+            at, weight = _places(len(m))
+            c = np.searchsorted(letters, _codes([m])[0]) + 1
+            for code, w in zip(((c[at[:, 0]] * wide + c[at[:, 1]]) * wide + c[at[:, 2]]).tolist(), weight.tolist()):
+                found.setdefault(code, {})[j] = found.get(code, {}).get(j, 0.0) + w
+    row_of, table = np.full(wide**ORDER, -1, np.int32), np.zeros((len(found), len(marks)), np.float32)
+    for i, (code, by_mark) in enumerate(sorted(found.items())):
+        row_of[code] = i
+        for j, w in by_mark.items():
+            table[i, j] = w
+    return letters, row_of, table, own_kernel(list(marks))
+
+
 def kernel(some: list[str], marks: list[str]) -> np.ndarray:
     """Normalised kernel to the power POWER, words by landmarks; words of fewer than ORDER characters are like nothing."""
-    out = np.zeros((len(some), len(marks)))
-    norm = np.sqrt(np.outer(own_kernel(some), own_kernel(marks)))
-    for m, cols in by_length(marks).items():
-        if m < ORDER:
+    letters, row_of, table, own = _marked(tuple(marks))
+    out, wide = np.zeros((len(some), len(marks)), np.float32), len(letters) + 1
+    for n, which in by_length(some).items() if len(table) else ():
+        if n < ORDER:
             continue
-        b = _codes([marks[j] for j in cols])
-        for n, rows in by_length(some).items():
-            if n < ORDER:
-                continue
-            for part in np.array_split(rows, -(-len(rows) * n * b.size // 1_000_000)):
-                a = _codes([some[i] for i in part])
-                out[np.ix_(part, cols)] = _pairs((a[:, None, :, None] == b[None, :, None, :]).astype(np.float32))
-    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0) ** POWER
+        at, weight = _places(n)
+        for part in np.array_split(which, -(-len(which) * len(at) // 4_000)):
+            c = _codes([some[i] for i in part])
+            near = np.minimum(np.searchsorted(letters, c), len(letters) - 1)
+            c = np.where(letters[near] == c, near + 1, 0).astype(np.int32)  # 0: in no landmark
+            row = row_of[((c[:, at[:, 0]] * wide + c[:, at[:, 1]]) * wide + c[:, at[:, 2]]).ravel()]
+            hit = np.flatnonzero(row >= 0)
+            if len(hit):
+                word = hit // len(at)
+                new = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+                out[part[word[new]]] = np.add.reduceat(table[row[hit]] * weight[hit % len(at), None], new, axis=0)
+    norm = np.sqrt(np.outer(own_kernel(some), own))
+    return np.divide(out, norm, out=np.zeros_like(norm), where=norm > 0) ** POWER
 
 
 @dataclasses.dataclass(frozen=True)
@@ -172,19 +203,25 @@ def _word_column(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(F.split(F.lower(text), r"[ \t-\r]+"), lambda x: F.regexp_replace(x, r"[^\p{L}]+", ""))), lambda x: F.length(x).between(ORDER, LONGEST))
 
 
+def _group(text: Column) -> Column:
+    """The least hash of two words in a row, which near copies mostly share and other texts don't."""
+    raw = F.split(F.lower(text), r"[ \t-\r]+")
+    return F.array_min(F.zip_with(raw, F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clean_words: int = CLEAN_WORDS, hard_words: int = HARD_WORDS, rounds: int = ROUNDS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic); labels other than 0 and 1 say nothing.
 
     For each word it is counted, over all labelled texts, in how many toxic and clean ones it stands; texts with the
-    same least word by hash count once, so that a text with its copies and near copies does not vouch for all its
+    same least pair of words by hash count once, so that a text with its copies and near copies does not vouch for all its
     words. The words that most prefer toxic texts are the toxic examples, a sample by hash of the words that don't
-    the clean ones. After a fit, the clean texts' words it finds worst, looked for in all of them, are added and it
-    is fitted again. At last the margin from which a text is toxic is set where fewest of all labelled texts err.
+    the clean ones. After a fit, the words of clean texts it finds worst, of all their words, are added and it is
+    fitted again. At last the margin from which a text is toxic is set where fewest of all labelled texts err.
     Only bounded lists of words, and counts by margin, reach the driver. Without toxic texts nothing is toxic.
     """
     rows = docs.join(labels.select(F.col("doc_id").alias("of"), "toxic").where("toxic in (0, 1)"), F.col("doc_id") == F.col("of")).select("text", F.col("toxic").cast("int").alias("toxic"))
     rows = save(rows.where("text is not null"), "labelled")
-    each = rows.select("toxic", _word_column(F.col("text")).alias("some")).withColumn("group", F.array_min(F.transform("some", lambda x: F.xxhash64(x))))
+    each = rows.select("toxic", "text", _word_column(F.col("text")).alias("some")).withColumn("group", _group(F.col("text")))
     groups = each.groupBy("toxic", "group").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
     once = each.select(F.explode("some").alias("word"), "toxic", "group").distinct()
     counts = once.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
@@ -194,9 +231,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clea
     toxic = {r.word: r.bad for r in liked.collect()}
     clean = [r.word for r in counts.where("bad <= good").orderBy(F.xxhash64("word"), "word").limit(clean_words).collect()]
     model, known = _fit(toxic, clean), set(clean)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds if toxic and clean else 0):
-        worst = rows.where("toxic = 0").select("text").mapInArrow(_worst(model), "word string, margin double")
-        worst = worst.groupBy("word").agg(F.first("margin").alias("margin")).orderBy(F.desc("margin"), "word").limit(hard_words)
+        worst = counts.where("good > 0").select("word").repartition(tasks).mapInArrow(_judged(model), "word string, margin double")
+        worst = worst.orderBy(F.desc("margin"), "word").limit(hard_words)
         clean += [r.word for r in worst.collect() if r.word not in known]
         known.update(clean)
         model = _fit(toxic, clean)
@@ -263,16 +301,10 @@ def _margins(model: Model, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     return (_judge(model)(data, start, end) if len(doc) else np.zeros(0, np.float32)), doc, start, end
 
 
-def _worst(model: Model):
+def _judged(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, at in chunks(batches, "text", 2 * CHUNK_BYTES):
-            margin, _, start, end = _margins(model, data, at)
-            seen = {}
-            for i in np.flatnonzero(margin > -0.9):
-                raw = data[start[i] : end[i]].tobytes().decode()
-                for w in windows(word_of(raw)):
-                    seen[w] = float(margin[i])
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.float64())], ["word", "margin"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.decide(b.column(0).to_pylist()).astype(float))], ["word", "margin"])
 
     return run
 
