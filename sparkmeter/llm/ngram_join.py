@@ -114,7 +114,7 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     component_id. Columns beside doc_id and text are not looked at.
 
     Equal sets become one node first. In each bucket of a signature the nodes are compared with the bucket's
-    smallest node only; once linked nodes are one component, what remains to compare are nodes of one bucket in
+    smallest node only, and only with one of them where that is enough; once linked nodes are one component, what remains to compare are nodes of one bucket in
     different components, and of these the pairs whose parity bits don't rule a link out. Every pair is checked on
     the real sets. So a group of copies costs its size, not its square, and no link between components is lost.
     """
@@ -166,8 +166,13 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     if hot:
         heads = buckets.where(F.col("sig").isin(hot)).groupBy("sig").agg(F.min("hub").alias("head"))
         hubs = hubs.union(buckets.select("sig", "hub").distinct().join(heads, "sig").where("hub <> head").select("hub", "head"))
-    hubs = save(hubs.distinct(), "hub_pairs")
-    links = check(hubs)
+    # first each node with the hub it shares most signatures with, then the other hubs, if not in its component by then
+    hubs = save(hubs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "hub_pairs")
+    links = check(hubs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    roots = components(links)
+    left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
+    apart = hubs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    links = links.union(check(apart.select("a", "b")))
     roots = components(links)
 
     placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -175,7 +180,7 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     rest = save(placed.join(open_, "sig").join(nodes.select("node", *about), "node"), "open_buckets")
     x, y = rest.alias("x"), rest.alias("y")
     across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _could("x", "y", num, den)
-    more = x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(hubs, ["a", "b"], "left_anti")
+    more = x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
     roots = components(links.union(check(more)))
 
     classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
