@@ -24,7 +24,8 @@ from .words import chunks
 
 MAGIC = b"WVMX1\0\0\0"
 END = 0
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
+CHUNK = 4 << 20
 DOCS_A_TASK = 10_000
 _WORDS = 8  # 64-bit words between two counts
 
@@ -38,11 +39,12 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         ids, n = np.asarray(ids, np.uint32), len(ids)
+        ids = ids.astype(np.uint16) if int(ids.max(initial=0)) < 1 << 16 else ids
         bits = max(1, int(ids.max(initial=0)).bit_length())
         blocks = n // (64 * _WORDS) + 1
         planes, zeros = np.zeros((bits, blocks * _WORDS), np.uint64), np.zeros(bits, np.int64)
         for p in range(bits):
-            bit = (ids >> np.uint32(bits - 1 - p)) & np.uint32(1) == 1
+            bit = (ids >> ids.dtype.type(bits - 1 - p)) & ids.dtype.type(1) == 1
             packed = np.packbits(bit, bitorder="little")
             planes[p].view(np.uint8)[: len(packed)] = packed
             zeros[p] = n - int(bit.sum())
@@ -115,7 +117,7 @@ class WaveletMatrix:
         """Header, the documents' ids (null: none) and token ends, zeros by plane, counts, planes; parts are deflated."""
         null = np.array([d is None for d in doc_ids], np.uint8)
         ids = np.array([0 if d is None else d for d in doc_ids], np.int64)
-        parts = [zlib.compress(x.tobytes(), 1) for x in (ids, null, ends.astype(np.int64), self.zeros, self.ones, *self.planes)]
+        parts = [_deflated(x.tobytes()) for x in (ids, null, ends.astype(np.int64), self.zeros, self.ones, *self.planes)]
         sizes = struct.pack(f"<{len(parts)}Q", *map(len, parts))
         return MAGIC + struct.pack("<4Q", self.n, self.bits, len(ids), self.planes.shape[1]) + sizes + b"".join(parts)
 
@@ -135,23 +137,36 @@ class WaveletMatrix:
         return cls(n, planes, ones, zeros), [None if x else int(d) for d, x in zip(ids, null)], ends
 
 
+def _deflated(raw: bytes) -> bytes:
+    """Deflate's own format; parts that look like noise are only stored."""
+    look = raw[: 1 << 14]
+    return zlib.compress(raw, 1 if len(zlib.compress(look, 1)) < 0.95 * len(look) else 0)
+
+
 _BEFORE = np.zeros(256, bool)
 _BEFORE[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK = _BEFORE & ~_LETTER
+_MARK[[0x27, *range(0x30, 0x3A)]] = False
 _AFTER = np.zeros(256, bool)
 _AFTER[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
 
 
 def safe_cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of the texts that byte-level BPE never joins: cut before one blank between two characters that are not white space.
+    """Pieces of the texts that byte-level BPE never joins, so that few different ones need encoding.
 
-    Which those are is told from bytes: ASCII, two-byte characters from U+00C0 on, and those whose first byte no white
-    space has. Elsewhere texts stay uncut, which is always right.
+    Cut is before one blank between two characters that are not white space, which is told from bytes: ASCII,
+    two-byte characters from U+00C0 on, and those whose first byte no white space has; before a mark after a letter
+    a-z, the apostrophe left out; and around a single line end between ASCII characters. Elsewhere texts stay uncut,
+    which is always right.
     """
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 3:
         two = (data[:-3] >= 0xC3) & (data[:-3] < 0xE0)
-        ok = (data[2:-1] == 0x20) & (_BEFORE[data[1:-2]] | (two & (data[1:-2] >= 0x80))) & _AFTER[data[3:]]
-        cut[2:-2] = ok
+        cut[2:-2] = (data[2:-1] == 0x20) & (_BEFORE[data[1:-2]] | (two & (data[1:-2] >= 0x80))) & _AFTER[data[3:]]
+        cut[1:-1] |= (_LETTER[data[:-1]] & _MARK[data[1:]]) | ((data[1:] == 0x0A) & _BEFORE[data[:-1]])
+        cut[2:-1] |= (data[1:-1] == 0x0A) & _BEFORE[data[:-2]] & _BEFORE[data[2:]]
     cut[at] = True
     start = np.flatnonzero(cut[:-1])
     return start, np.append(start[1:], len(data))
@@ -163,7 +178,7 @@ def _cache(tokenizer: str) -> PieceCache:
 
     t = Tokenizer.from_file(tokenizer)
     t.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
-    return PieceCache(lambda pieces: [e.ids for e in t.encode_batch(pieces, add_special_tokens=False)])
+    return PieceCache(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
 
 
 def encode(tokenizer: str, data: np.ndarray, at: np.ndarray, end_id: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +212,7 @@ def _writer(path: str, tokenizer: str, shard_tokens: int):
                 f.write(raw)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "tokens": [matrix.n], "docs": [len(docs)], "bytes": [len(raw)]})
 
-        for rows, data, at in chunks(batches):
+        for rows, data, at in chunks(batches, limit=CHUNK):
             some, count = encode(tokenizer, data, at)
             ids.append(some)
             counts.append(count)
