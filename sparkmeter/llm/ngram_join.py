@@ -22,7 +22,7 @@ from .words import chunks, lists, longs, mix, shingles, words
 
 CELLS = 3
 PAIRS = ((0, 1), (0, 2), (1, 2))
-SKETCH = 8  # longs of parity bits
+SKETCH = 32  # longs of parity bits: enough to tell long texts apart too
 #: A signature with more than this share of all rows is dealt over SALTS tasks.
 HOT_SHARE, SALTS, LOOK = 0.001, 64, 0.02
 #: Three longs a row: about 50 MB in memory.
