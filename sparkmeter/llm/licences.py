@@ -1,7 +1,8 @@
 """Licence texts and notices in documents, by the Dice coefficient over word bigrams.
 
-A document is read as a whole and line by line, each unit against all templates whose size allows the wanted
-coefficient: with Dice d, a unit of n bigrams can only match templates of n d / (2 - d) to n (2 - d) / d bigrams.
+A document is read as a whole, line by line and by passages, each unit against all templates whose size allows the
+wanted coefficient: with Dice d, a unit of n bigrams can only match templates of n d / (2 - d) to n (2 - d) / d bigrams.
+A passage is any run of words between two breaks; lines and sentences end at breaks.
 """
 
 from __future__ import annotations
@@ -61,6 +62,7 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 
 _COPYRIGHT = re.compile(r"^\W*(?:copyright|\(c\)|©)[^\n]*\d{4}[^\n]*$", re.I | re.M)
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
+_BREAK = re.compile(r"[\n.;:!?]")
 
 
 def normalised(text: str | None) -> list[str]:
@@ -68,6 +70,24 @@ def normalised(text: str | None) -> list[str]:
     return _WORD.findall(_COPYRIGHT.sub(" ", text or "").lower().replace("licence", "license"))
 
 
+def passages(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The words of `normalised`, the line of each, and the word numbers at which a passage may begin or end."""
+    some, line, breaks, end = [], [], [0], 0
+    number = 0
+    for row in _COPYRIGHT.sub(lambda m: "\n" * m.group().count("\n") + " ", text).lower().replace("licence", "license").split("\n"):
+        if some and breaks[-1] != len(some):
+            breaks.append(len(some))
+        end = 0
+        for m in _WORD.finditer(row):
+            if breaks[-1] != len(some) and _BREAK.search(row, end, m.start()):
+                breaks.append(len(some))
+            end = m.end()
+            some.append(m.group())
+            line.append(number)
+        number += 1
+    return some, line, breaks if breaks[-1] == len(some) else [*breaks, len(some)]
+
+
 def bigrams(some: list[str]) -> set[tuple[str, str]]:
     """Pairs of words in a row; a single word is paired with nothing."""
     return set(zip(some, some[1:])) if len(some) > 1 else {(w, "") for w in some}
@@ -88,11 +108,14 @@ class Scanner:
         for i, s in enumerate(self.sets):
             for g in s:
                 self.holders.setdefault(g, []).append(i)
+        self.known = frozenset(self.holders)
         self.longest = max(map(len, self.sets), default=0) * (2 - least) / least
 
     def best(self, unit: str) -> tuple[int, float] | None:
         """(template, coefficient) of the best match; of equal ones the first template."""
-        mine = bigrams(normalised(unit))
+        return self._best(bigrams(normalised(unit)))
+
+    def _best(self, mine: set) -> tuple[int, float] | None:
         if not mine or len(mine) > self.longest:
             return None
         low, high = len(mine) * self.least / (2 - self.least) - 1e-9, len(mine) * (2 - self.least) / self.least + 1e-9
@@ -104,6 +127,89 @@ class Scanner:
         found = max(((2 * n / (len(mine) + len(self.sets[i])), -i) for i, n in shared.items()), default=None)
         return (-found[1], found[0]) if found and found[0] >= self.least - 1e-12 else None
 
+    def whole_and_passages(self, text: str, lines: dict[int, tuple[int, float]]) -> tuple[tuple[int, float] | None, list[tuple[int, int, int, float]]]:
+        """The match of the whole text, and (first line, last line, template, coefficient) of passages beside `lines` (matches by line).
+
+        Templates are searched where the text holds as many of their bigrams as any match needs. Of passages over the
+        same words the best is told, and none that a line or the whole text tells as well: see `_told_already`.
+        """
+        mine = bigrams(normalised(text))
+        whole, have = self._best(mine), {}
+        for g in self.known & mine:
+            for i in self.holders[g]:
+                have[i] = have.get(i, 0) + 1
+        wanted = sorted(i for i, n in have.items() if n >= len(self.sets[i]) * self.least / (2 - self.least) - 1e-9)
+        if not wanted:
+            return whole, []
+        some, line, breaks = passages(text)
+        pairs = list(zip(some, some[1:])) if len(some) > 1 else [(w, "") for w in some]
+        ids: dict[tuple[str, str], int] = {}
+        seq = [ids.setdefault(g, len(ids)) for g in pairs]
+        told = [(0, len(some), *whole, False)] if whole else []
+        at = np.searchsorted(line, np.arange(line[-1] + 2))
+        told += [(int(at[k]), int(at[k + 1]), *hit, True) for k, hit in lines.items()]
+        found = sorted((-v, i, s, e) for i in wanted for v, s, e in self._windows(i, ids, seq, np.array(breaks)))
+        out = []
+        for v, i, s, e in found:
+            if not any(self._told_already(s, e, i, -v, *x) for x in told):
+                told.append((s, e, i, -v, True))
+                out.append((line[s], line[e - 1], i, -v))
+        return whole, out
+
+    def _told_already(self, s: int, e: int, i: int, v: float, s2: int, e2: int, i2: int, v2: float, inside: bool) -> bool:
+        """Is the passage s to e inside a told line or passage, or does what is told share words with it and name the same
+        licence on half as many words or more, or match as well on words that are most of both?"""
+        both = min(e, e2) - max(s, s2)
+        if both <= 0:
+            return False
+        if (inside and both == e - s) or (i == i2 and v2 >= v - 1e-12):
+            return True
+        return (self.names[i] == self.names[i2] and 2 * (e2 - s2) >= e - s) or (2 * both > max(e - s, e2 - s2) and v2 >= v - 1e-12)
+
+    def _windows(self, i: int, ids: dict, seq: list[int], breaks: np.ndarray) -> list[tuple[float, int, int]]:
+        """(coefficient, begin, end) of the best passage from each break on that reaches `least`, for template i.
+
+        Breaks are taken from the last to the first; `near` holds the distinct bigrams from there on by first occurrence,
+        as many as a match may have, so a prefix of it is the set of a passage wherever a break parts it from the next.
+        """
+        n, size = len(seq), len(self.sets[i])
+        if n == 1 and breaks[-1] == 1:  # one word, paired with nothing
+            v = dice({next(iter(ids))}, self.sets[i])
+            return [(v, 0, 1)] if v >= self.least - 1e-12 else []
+        wanted = np.zeros(len(ids), bool)
+        wanted[[ids[g] for g in self.sets[i] if g in ids]] = True
+        hit = np.append(0, np.cumsum(wanted[seq]))
+        following = breaks[np.minimum(np.searchsorted(breaks, np.arange(n) + 2), len(breaks) - 1)]
+        limit = int(size * (2 - self.least) / self.least + 1e-9) + 1
+        first, inside, near, out, p = [0] * len(ids), bytearray(len(ids)), [], [], n
+        place = np.arange(1, limit + 1)
+        for k in range(len(breaks) - 2, -1, -1):
+            s = int(breaks[k])
+            for p in range(p - 1, s - 1, -1):
+                g = seq[p]
+                if inside[g]:
+                    near.remove(g)
+                else:
+                    inside[g] = 1
+                    if len(near) >= limit:
+                        inside[near.pop()] = 0
+                near.insert(0, g)
+                first[g] = p
+            p = min(p, s)
+            if hit[min(int(breaks[k + 1]), n)] == hit[min(s, n)] or not near:
+                continue
+            at = np.array([first[g] for g in near])
+            value = 2 * np.cumsum(wanted[near]) / (place[: len(near)] + size)
+            end = following[at]
+            # the break must come before the next new bigram is complete; a full list has no next one that is known
+            value[:-1][end[:-1] >= at[1:] + 2] = 0
+            if len(near) == limit:
+                value[-1] = 0
+            best = int(value.argmax())
+            if value[best] >= self.least - 1e-12:
+                out.append((float(value[best]), s, int(end[best])))
+        return out
+
 
 def _finder(templates: list[tuple[str, str]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,31 +234,32 @@ def _finder(templates: list[tuple[str, str]], least: float):
             found = lines.ids_of(data, start, end)[0].reshape(-1, 2) if len(start) else np.zeros((0, 2), np.int32)
             owner = np.searchsorted(at, start, "right") - 1
             hit = np.flatnonzero(found[:, 0])
-            out = [(int(owner[i]), int(i - np.searchsorted(owner, owner[i])), int(found[i, 0]) - 1, float(found[i, 1:2].view(np.float32)[0])) for i in hit]
+            hits: dict[int, dict[int, tuple[int, float]]] = {}
+            for i in hit:
+                hits.setdefault(int(owner[i]), {})[int(i - np.searchsorted(owner, owner[i]))] = (int(found[i, 0]) - 1, float(found[i, 1:2].view(np.float32)[0]))
+            out = [(d, k, k, *x) for d, of in hits.items() for k, x in of.items()]
             raw, many = data.tobytes(), np.bincount(owner, minlength=rows.num_rows)
-            for d in np.flatnonzero((many > 1) & (np.diff(at) <= _MOST_CHARS * 4)):
-                best = scanner.best(raw[at[d] : at[d + 1]].decode())
-                if best:
-                    out.append((int(d), -1, *best))
+            for d in np.flatnonzero(many):
+                whole, runs = scanner.whole_and_passages(raw[at[d] : at[d + 1]].decode(), hits.get(int(d), {}))
+                if whole and many[d] > 1:
+                    out.append((int(d), -1, -1, *whole))
+                out += [(int(d), *x) for x in runs]
             out.sort()
-            doc, line, template, value = zip(*out) if out else [()] * 4
+            doc, line, last, template, value = zip(*out) if out else [()] * 5
             ids = rows.column(0).take(pa.array(doc, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(line, pa.int64()), pa.array([scanner.names[t] for t in template], pa.string()), pa.array([round(v, 6) for v in value], pa.float64())], ["doc_id", "line", "licence", "dice"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(line, pa.int64()), pa.array(last, pa.int64()), pa.array([scanner.names[t] for t in template], pa.string()), pa.array([round(v, 6) for v in value], pa.float64())], ["doc_id", "line", "last_line", "licence", "dice"])
 
     return run
 
 
-#: Longer texts than any template can match as a whole are read by lines only; lines have the same bound by size.
-_MOST_CHARS = 1 << 20
-
-
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = DICE) -> DataFrame:
-    """(doc_id, line, licence, dice) for each line, and for the whole text (line -1), that a template matches.
+    """(doc_id, line, last_line, licence, dice) for each line, the whole text (line -1) and each passage that a template matches.
 
-    `licence` is that of the best template; of equally good ones the first. Lines count from 0. Null and empty texts
-    match nothing; a text of one line is told once, as its line. doc_id may be null or repeated.
+    `licence` is that of the best template; of equally good ones the first. Lines count from 0. A passage runs over
+    whole lines or sentences from `line` to `last_line` and is told where lines and the whole text do not tell it.
+    Null and empty texts match nothing; a text of one line is told once, as its line. doc_id may be null or repeated.
     """
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MOST_TEMPLATES or sum(len(t) for _, t in templates) > MOST_BYTES:
         raise ValueError("too many templates for every task to hold")
-    return docs.select("doc_id", F.col("text")).mapInArrow(_finder(templates, least), "doc_id long, line long, licence string, dice double")
+    return docs.select("doc_id", F.col("text")).mapInArrow(_finder(templates, least), "doc_id long, line long, last_line long, licence string, dice double")

@@ -40,3 +40,39 @@ def test_scan_equals_comparing_every_template(docs):
 
 def test_empty_tables(docs):
     assert lc.scan(docs([])).collect() == [] and lc.scan(docs([(1, "a b")]), []).collect() == []
+
+
+def test_passages_equal_comparing_every_run_of_sentences_and_lines():
+    """For each template, the best of all runs between breaks, taken from every break on."""
+    rng = random.Random(2)
+    scanner = lc.Scanner(lc.TEMPLATES, 0.6)
+    for _ in range(60):
+        lines = []
+        for _ in range(rng.randrange(1, 4)):
+            lines += [" ".join(rng.choice(["the", "license", "under", "words", "of", "of. A"]) for _ in range(rng.randrange(8))) for _ in range(rng.randrange(4))]
+            lines += rng.choice(lc.TEMPLATES[:12])[1].split("\n")
+        some, _, breaks = lc.passages("\n".join(lines))
+        assert some == lc.normalised("\n".join(lines))
+        pairs = list(zip(some, some[1:])) if len(some) > 1 else [(w, "") for w in some]
+        ids = {g: n for n, g in enumerate(dict.fromkeys(pairs))}
+        for i in range(12):
+            best = {}
+            for a, s in enumerate(breaks):
+                for e in breaks[a + 1 :]:
+                    best[s] = max(best.get(s, 0), lc.dice(lc.bigrams(some[s:e]) if e - s > 1 else set(), scanner.sets[i]))
+            # a passage that begins before the first word of the template is never the best
+            found = {s: v for v, s, _ in scanner._windows(i, ids, [ids[g] for g in pairs], lc.np.array(breaks))}
+            assert all(abs(best[s] - v) < 1e-9 for s, v in found.items())
+            assert max(best.values(), default=0) < 0.6 or abs(max(found.values()) - max(best.values())) < 1e-9
+
+
+def test_licence_inside_longer_documents(docs):
+    mit = lc.TEMPLATES[3][1]
+    wrapped = "\n".join(" * " + x for x in mit.replace(". ", ".\n\n * ").split("\n"))
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, f"# A tool\n{long}\n\n## Licence\n{wrapped}\n\n{long} again"), (2, f"{long}. {mit} {long}"), (3, f"{long}\n{mit}\n{long}\n{mit}")]
+    rows += [(4, (mit + "\n") * 6000), (5, long + "\n" + "filler " * 700_000 + "\n" + mit)]  # over 4 MiB
+    found = {(r.doc_id, r.line, r.last_line, r.licence) for r in lc.scan(docs(rows)).collect() if r.dice > 0.9}
+    n = mit.count("\n")
+    assert {(1, 4, 4 + wrapped.count("\n"), "MIT"), (2, 0, n, "MIT"), (3, 1, 1 + n, "MIT"), (3, 3 + n, 3 + 2 * n, "MIT")} <= found
+    assert {(4, -1, -1, "MIT"), (5, 2, 2 + n, "MIT")} <= found
