@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ DICE = 0.8
 #: Templates are held by every task; their number and text are bounded.
 MOST_TEMPLATES, MOST_BYTES = 5_000, 32 << 20
 
+_GNU = [("GPL-2.0", "GNU General Public License", "2"), ("GPL-3.0", "GNU General Public License", "3"), ("LGPL-2.1", "GNU Lesser General Public License", "2.1"),
+        ("LGPL-3.0", "GNU Lesser General Public License", "3"), ("AGPL-3.0", "GNU Affero General Public License", "3")]
 # Wordings of public licences and of the notices that name them.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -58,7 +61,35 @@ provided that the above copyright notice and this permission notice appear in al
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
 distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("All-Rights-Reserved", "All rights reserved."),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE
+AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO
+EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("EPL-2.0", "Licensed under the Eclipse Public License, version 2.0."),
+    ("EPL-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0
+which is available at https://www.eclipse.org/legal/epl-2.0/."""),
+    ("EPL-1.0", """All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse
+Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"""),
+    ("BSL-1.0", """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at
+http://www.boost.org/LICENSE_1_0.txt)"""),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    *((name, f"This work is licensed under the {of}, version {number}.") for name, of, number in _GNU),
+    *((name, f"Licensed under the {of}, version {number} or later.") for name, of, number in _GNU),
+    *((name, f"""This {thing} is free software: you can redistribute it and/or modify it under the terms of the {of} as published by
+the Free Software Foundation, either version {number} of the License, or (at your option) any later version.""") for name, of, number in _GNU for thing in ("program", "library")),
+    *((name, f"""This {thing} is free software; you can redistribute it and/or modify it under the terms of the {of} version {number} as
+published by the Free Software Foundation.""") for name, of, number in _GNU for thing in ("program", "library")),
 ]
+# Full texts, one file each named by its licence; the README says which licences are covered.
+TEMPLATES += sorted((f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt"))
 
 _COPYRIGHT = re.compile(r"^\W*(?:copyright|\(c\)|©)[^\n]*\d{4}[^\n]*$", re.I | re.M)
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
@@ -113,18 +144,22 @@ class Scanner:
 
     def best(self, unit: str) -> tuple[int, float] | None:
         """(template, coefficient) of the best match; of equal ones the first template."""
-        return self._best(bigrams(normalised(unit)))
+        mine = bigrams(normalised(unit))
+        return self._best(mine, self._shared(mine))
+
+    def _shared(self, mine: set) -> dict[int, int]:
+        """Number of bigrams shared with each template that shares any."""
+        have: dict[int, int] = {}
+        for g in self.known & mine:
+            for i in self.holders[g]:
+                have[i] = have.get(i, 0) + 1
+        return have
 
-    def _best(self, mine: set) -> tuple[int, float] | None:
+    def _best(self, mine: set, have: dict[int, int]) -> tuple[int, float] | None:
         if not mine or len(mine) > self.longest:
             return None
         low, high = len(mine) * self.least / (2 - self.least) - 1e-9, len(mine) * (2 - self.least) / self.least + 1e-9
-        shared: dict[int, int] = {}
-        for g in mine:
-            for i in self.holders.get(g, ()):
-                if low <= len(self.sets[i]) <= high:
-                    shared[i] = shared.get(i, 0) + 1
-        found = max(((2 * n / (len(mine) + len(self.sets[i])), -i) for i, n in shared.items()), default=None)
+        found = max(((2 * n / (len(mine) + len(self.sets[i])), -i) for i, n in have.items() if low <= len(self.sets[i]) <= high), default=None)
         return (-found[1], found[0]) if found and found[0] >= self.least - 1e-12 else None
 
     def whole_and_passages(self, text: str, lines: dict[int, tuple[int, float]]) -> tuple[tuple[int, float] | None, list[tuple[int, int, int, float]]]:
@@ -134,10 +169,8 @@ class Scanner:
         same words the best is told, and none that a line or the whole text tells as well: see `_told_already`.
         """
         mine = bigrams(normalised(text))
-        whole, have = self._best(mine), {}
-        for g in self.known & mine:
-            for i in self.holders[g]:
-                have[i] = have.get(i, 0) + 1
+        have = self._shared(mine)
+        whole = self._best(mine, have)
         wanted = sorted(i for i, n in have.items() if n >= len(self.sets[i]) * self.least / (2 - self.least) - 1e-9)
         if not wanted:
             return whole, []
@@ -151,20 +184,21 @@ class Scanner:
         found = sorted((-v, i, s, e) for i in wanted for v, s, e in self._windows(i, ids, seq, np.array(breaks)))
         out = []
         for v, i, s, e in found:
-            if not any(self._told_already(s, e, i, -v, *x) for x in told):
+            grams = self.sets[i].intersection(pairs[s : max(e - 1, s + 1)])
+            if not any(self._told_already(s, e, i, -v, grams, *x) for x in told):
                 told.append((s, e, i, -v, True))
                 out.append((line[s], line[e - 1], i, -v))
         return whole, out
 
-    def _told_already(self, s: int, e: int, i: int, v: float, s2: int, e2: int, i2: int, v2: float, inside: bool) -> bool:
+    def _told_already(self, s: int, e: int, i: int, v: float, grams: set, s2: int, e2: int, i2: int, v2: float, inside: bool) -> bool:
         """Is the passage s to e inside a told line or passage, or does what is told share words with it and name the same
-        licence on half as many words or more, or match as well on words that are most of both?"""
+        licence on half as many words or more, or match as well with a template that holds most of the bigrams it matches by?"""
         both = min(e, e2) - max(s, s2)
         if both <= 0:
             return False
-        if (inside and both == e - s) or (i == i2 and v2 >= v - 1e-12):
+        if (inside and both == e - s) or (self.names[i] == self.names[i2] and 2 * (e2 - s2) >= e - s):
             return True
-        return (self.names[i] == self.names[i2] and 2 * (e2 - s2) >= e - s) or (2 * both > max(e - s, e2 - s2) and v2 >= v - 1e-12)
+        return v2 >= v - 1e-12 and (i == i2 or 2 * len(grams & self.sets[i2]) > len(grams))
 
     def _windows(self, i: int, ids: dict, seq: list[int], breaks: np.ndarray) -> list[tuple[float, int, int]]:
         """(coefficient, begin, end) of the best passage from each break on that reaches `least`, for template i.

@@ -76,3 +76,14 @@ def test_licence_inside_longer_documents(docs):
     n = mit.count("\n")
     assert {(1, 4, 4 + wrapped.count("\n"), "MIT"), (2, 0, n, "MIT"), (3, 1, 1 + n, "MIT"), (3, 3 + n, 3 + 2 * n, "MIT")} <= found
     assert {(4, -1, -1, "MIT"), (5, 2, 2 + n, "MIT")} <= found
+
+
+def test_full_texts_and_notices_of_common_licences(docs):
+    texts = [(n, t) for n, t in lc.TEMPLATES if len(t) > 600]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "EPL-1.0", "Unlicense", "BSD-2-Clause", "BSD-3-Clause", "ISC", "CC0-1.0", "MIT"} <= {n for n, _ in texts}
+    around = "\n".join(f"some line {i} of the file" for i in range(400))
+    notice = "\n".join(["/* This library is free software; you can redistribute it and/or", " * modify it under the terms of the GNU Lesser General Public",
+                        " * License as published by the Free Software Foundation; either", " * version 2.1 of the License, or (at your option) any later version.", " */"])
+    rows = [(i, f"{around}\n\n{t}\n{around}") for i, (_, t) in enumerate(texts)] + [(1000, f"{notice}\n{around}"), (1001, f"{around}\n{notice.replace('Lesser', 'Affero').replace('2.1', '3').replace('library', 'program')}")]
+    found = {(r.doc_id, r.licence) for r in lc.scan(docs(rows)).collect()}
+    assert {(i, n) for i, (n, _) in enumerate(texts)} | {(1000, "LGPL-2.1"), (1001, "AGPL-3.0")} <= found
