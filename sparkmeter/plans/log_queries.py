@@ -257,7 +257,7 @@ def _export_documents(spark, sf):
     current = F.concat(L("n"), F.element_at("ms", -1)["turn"].cast("string"))
     doc = F.when(n == 0, _json(messages=flat)).when(n == 1, _json(chat_messages=claude)).when(n == 2, _json(contents=gemini)) \
         .when(n == 3, _json(mapping=tree, current_node=current)).otherwise(_json(props=F.struct(F.struct(flat.alias("messages")).alias("page")), other=L(1)))
-    return c.select(F.col("conv_id").alias("doc_id"), F.try_parse_json(doc).alias("v"))
+    return c.select(F.col("conv_id").alias("doc_id"), doc.alias("value"))
 
 
 @query("export_turns", with_views(MERGED, "SELECT conv_id AS doc_id, CASE conv_id % 5 WHEN 1 THEN 'claude' WHEN 2 THEN 'gemini' WHEN 3 THEN 'chatgpt' ELSE 'openai-messages' END AS source, idx, role, md5(text) AS digest FROM mm"))

@@ -52,6 +52,26 @@ def test_export_shapes(spark):
                    (3, "openai-messages", 0, "user", "one"), (3, "gemini", 0, "user", "two")]
 
 
+def test_large_and_deep_exports_and_unreadable_files(spark, tmp_path):
+    turns = lambda n: [{"role": "user" if i % 2 == 0 else "assistant", "content": f"{i} " + "x" * 20_000} for i in range(n)]
+    content = "deep"
+    for _ in range(12):
+        content = [{"type": "text", "text": {"parts": [content]}}]
+    nested = {"messages": [{"role": "user", "content": content}]}
+    for _ in range(9):
+        nested = {"props": [nested]}
+    (tmp_path / "large.json").write_text(json.dumps([{"messages": turns(1000)}, {"messages": turns(2)}]))
+    (tmp_path / "nested.json").write_text(json.dumps(nested))
+    (tmp_path / "bad.json").write_text('{"messages": [')
+    got = chats.read_chat_exports(spark, [str(tmp_path)]).withColumn("file", F.regexp_extract("doc_id", r"([a-z]+)\.json", 1))
+    assert {(r["file"], r["conv_no"]): r["n"] for r in got.where("error IS NULL").groupBy("file", "conv_no").agg(F.count("*").alias("n")).collect()} == \
+        {("large", "000000000"): 1000, ("large", "000000001"): 2, ("nested", "000000000"): 1}
+    assert [r["text"] for r in got.where("file = 'nested'").collect()] == ["deep"]
+    assert [(r["file"], r["text"]) for r in got.where("error IS NOT NULL").collect()] == [("bad", None)]
+    page = spark.createDataFrame([("p", f'<script type="application/json">{json.dumps({"messages": turns(900)})}</script>'), ("q", '<script type="application/json">{no</script>')], "doc_id string, html string")
+    assert chats.parse_pages(page).count() == 900 and [(r["doc_id"], r["block"]) for r in chats.unreadable_blocks(page).collect()] == [("q", 0)]
+
+
 def test_role_marked_text_and_sql_functions(spark):
     from sparkmeter.functions.register import register_functions
 
