@@ -217,36 +217,43 @@ def _weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> D
 # ---------------------------------------------------------------- detector validation
 
 
-ENUMERATE_UP_TO = 1_000_000
+def _permuted(number: Column, half_bits: int, seed: int) -> Column:
+    """A bijection of 0 .. 4**half_bits - 1 that looks random: four Feistel rounds."""
+    mask = F.lit((1 << half_bits) - 1)
+    left, right = F.shiftrightunsigned(number, half_bits), number.bitwiseAND(mask)
+    for turn in range(4):
+        left, right = right, left.bitwiseXOR(F.xxhash64(F.lit(seed), F.lit(turn), right).bitwiseAND(mask))
+    return F.shiftleft(left, half_bits).bitwiseOR(right)
 
 
 def validation_pairs(wins: DataFrame, refs: DataFrame, fingerprints: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """A blind sample of (segment, later call) pairs, half detected as a use and half not, hash-ordered.
 
-    Detected pairs are the refs. The undetected ones are listed only while there are few; beyond that
-    pair numbers are drawn by hash and located by prefix sums over the segments' window lengths, so
-    windows are never expanded.
+    Detected pairs are the refs. For the undetected ones pair numbers are drawn in a seeded order without
+    repeats and located by prefix sums over the segments' window lengths, so windows are never expanded; more
+    are drawn until that half is full or no pair is left.
     """
     fp = fingerprints.select("session_id", "fingerprint")
     live = wins.where((F.col("kind") != PINNED) & (F.col("end") > F.col("birth") + 1)).select(*SEG, "birth", "end")
     live = live.withColumn("w", F.col("end") - F.col("birth") - 1)
     hits = refs.join(live.select(*SEG, "birth"), SEG).where("k > birth").select(*SEG, "k")
     total = live.agg(F.sum("w").alias("t")).first()["t"] or 0
-    if total <= ENUMERATE_UP_TO:
-        offered = live.select(*SEG, F.explode(F.expr("sequence(birth + 1, end - 1)")).alias("k"))
-    else:
-        # undetected pairs are at least 1/share of all pairs; draw enough that half of n survive
-        share = max(1e-3, 1 - hits.count() / total)
-        spark = wins.sparkSession
-        draws = spark.range(int(4 * n / share) + 64).select(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("at")).distinct()
-        cut = live.withColumn(scale.BLOCK, F.pmod(F.xxhash64(*SEG), F.lit(4096)))
-        starts = scale.scan(cut, [], SEG, at=scale.running_sum(F.col("w"), inclusive=False))
-        line = starts.select("at", F.lit(0).alias("ask"), F.struct(*SEG, "birth", "at").alias("seg"))
-        line = line.unionByName(draws.select("at", F.lit(1).alias("ask"), F.lit(None).cast(line.schema["seg"].dataType).alias("seg")))
-        line = line.withColumn(scale.BLOCK, F.floor(F.col("at") / F.lit(max(1, total // 4096))))
-        found = scale.scan(line, [], ["at", "ask"], own=scale.last_known(F.col("seg"))).where("ask = 1")
+    half_bits = max(1, (int(total).bit_length() + 1) // 2)
+    domain = 1 << (2 * half_bits)
+    cut = live.withColumn(scale.BLOCK, F.pmod(F.xxhash64(*SEG), F.lit(4096)))
+    starts = scale.scan(cut, [], SEG, at=scale.running_sum(F.col("w"), inclusive=False))
+    line = starts.select("at", F.lit(0).alias("ask"), F.struct(*SEG, "birth", "at").alias("seg"))
+    drawn = min(domain, 8 * n + 64)
+    while True:
+        draws = wins.sparkSession.range(drawn).select(_permuted(F.col("id"), half_bits, seed).alias("at")).where(F.col("at") < total)
+        asked = line.unionByName(draws.select("at", F.lit(1).alias("ask"), F.lit(None).cast(line.schema["seg"].dataType).alias("seg")))
+        asked = asked.withColumn(scale.BLOCK, F.floor(F.col("at") / F.lit(max(1, total // 4096))))
+        found = scale.scan(asked, [], ["at", "ask"], own=scale.last_known(F.col("seg"))).where("ask = 1")
         offered = found.select("own.session_id", "own.seg_id", (F.col("own.birth") + 1 + F.col("at") - F.col("own.at")).alias("k"))
-    missed = offered.join(hits, [*SEG, "k"], "left_anti")
+        missed = offered.join(hits, [*SEG, "k"], "left_anti")
+        if drawn == domain or missed.join(fp, "session_id", "left_semi").limit(n - n // 2).count() == n - n // 2:
+            break
+        drawn = min(domain, 8 * drawn)
     pairs = hits.withColumn("stratum", F.lit("hit")).unionByName(missed.withColumn("stratum", F.lit("miss"))).join(fp, "session_id")
     key = F.substring(F.sha2(F.concat_ws("|", "fingerprint", "seg_id", "k"), 256), 1, 16)
     pairs = pairs.select(*SEG, "k", key.alias("key"), "stratum")
