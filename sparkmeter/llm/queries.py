@@ -131,3 +131,30 @@ def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = katz.train(docs.where(~held))
     scored = katz.score(docs, model, ~held)
     return scored.select("doc_id", katz.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op13_filter_audit", r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INT)) AS good, max(CAST(coalesce(toxic = 1, false) AS INT)) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT w.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END) + (CASE WHEN w.doc_id > first_id THEN 16 ELSE 0 END) AS mask
+  FROM w LEFT JOIN l USING (doc_id)),
+h AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+perms AS (SELECT c AS o FROM letters UNION ALL SELECT o || c FROM perms, letters WHERE length(o) < 5 AND NOT contains(o, c)),
+s AS (SELECT o AS filter_order, k AS step, CAST(1 << (ascii(substr(o, k, 1)) - 65) AS INT) AS bit,
+  CAST(coalesce(list_sum(list_transform(range(1, k), lambda j: 1 << (ascii(substr(o, j, 1)) - 65))), 0) AS INT) AS before
+  FROM (SELECT o, unnest(range(1, 6)) AS k FROM perms WHERE length(o) = 5)),
+x AS (SELECT part, filter_order, CAST(step AS INT) AS step, bit,
+  CAST(coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (mask = bit), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS BIGINT) AS toxic_lost
+  FROM h CROSS JOIN s GROUP BY ALL)
+SELECT * EXCLUDE (bit), CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM x""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
