@@ -75,12 +75,11 @@ PARTS = ("dup", "large", "failed")
 
 
 def audit(calls: DataFrame, uses: DataFrame, order: list[str] = LINE_ORDER, large: int = LARGE_RESULT_TOKENS) -> DataFrame:
-    """One row per session with main-chain calls; transcripts' sub-agent calls are only counted, in subagent_calls."""
-    side = calls.where("is_side").groupBy("session_id").agg(F.count(F.lit(1)).alias("subagent_calls")) if "ctx_key" in calls.columns else None
+    """One row per session with main-chain calls; sub-agent calls are only counted, in subagent_calls."""
+    side = calls.where("ctx_key <> 'main'").groupBy("session_id").agg(F.count(F.lit(1)).alias("subagent_calls"))
     calls, uses = main_chain(calls), main_chain(uses)
     uses = with_carry(uses, calls)
-    out = session_totals(calls)
-    out = out if side is None else out.join(side, "session_id", "left")
+    out = session_totals(calls).join(side, "session_id", "left")
     tools = uses.groupBy("session_id").agg(F.count(F.lit(1)).alias("tool_calls"), F.sum("carried_tokens").alias("carried_tokens"))
     comps = calls.groupBy("session_id").agg(F.max("epoch").alias("compactions"))
     out = out.join(tools, "session_id", "left").join(comps, "session_id", "left")
@@ -91,7 +90,7 @@ def audit(calls: DataFrame, uses: DataFrame, order: list[str] = LINE_ORDER, larg
 
 def merge(audits: DataFrame) -> DataFrame:
     """All sessions; percentages recomputed from the sums."""
-    sums = ["api_calls", "tool_calls", "compactions", "input", "cache_read", "cache_write", "output", "processed_input",
+    sums = ["api_calls", "subagent_calls", "tool_calls", "compactions", "input", "cache_read", "cache_write", "output", "processed_input",
             "carried_tokens"] + [f"{p}_{m}" for p in PARTS for m in ("count", "tokens", "carried")]
     m = audits.agg(F.count(F.lit(1)).alias("sessions"), F.max("peak_context").alias("peak_context"),
                    *[F.sum(c).alias(c) for c in sums])
@@ -120,15 +119,16 @@ def tips(merged: DataFrame) -> DataFrame:
     return merged.select(*keys, F.inline(rows)).where("n > 0")
 
 
-def export(merged: DataFrame, tools: DataFrame) -> DataFrame:
-    """Numbers only: fixed columns and tool names with private services collapsed."""
-    keep = ["sessions", "api_calls", "compactions", "tool_calls", "input", "cache_read", "cache_write", "output",
+def export(merged: DataFrame, tools: DataFrame, bound: DataFrame | None = None) -> DataFrame:
+    """Numbers only: fixed columns and tool names with private services collapsed. `bound`: one row, packed as JSON."""
+    keep = ["sessions", "api_calls", "subagent_calls", "compactions", "tool_calls", "input", "cache_read", "cache_write", "output",
             "processed_input", "cache_hit_pct", "peak_context", "carried_share_pct"]
     keep += [f"{p}_{m}" for p in PARTS for m in ("count", "tokens", "carried")]
     m = ["calls", "result_tokens", "carried_tokens", "errors", "images"]
     per_tool = tools.groupBy(collapse_tool("name").alias("name")).agg(*[F.sum(c).alias(c) for c in m])
     packed = per_tool.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct(*m)))))).alias("by_tool"))
-    return merged.select(*keep).join(F.broadcast(packed))  # one row each; names are tool types
+    out = merged.select(*keep).join(F.broadcast(packed))  # one row each; names are tool types
+    return out if bound is None else out.join(F.broadcast(bound.select(F.to_json(F.struct(*bound.columns)).alias("bound"))))
 
 
 def top_paths(dups: DataFrame, n: int = 10) -> DataFrame:

@@ -330,9 +330,8 @@ def agent_payload(merged: DataFrame, tools: DataFrame, client: str = "cli", vers
     """One payload from a merged audit and its by-tool rows (names collapsed)."""
     part = lambda p: F.struct(F.col(f"{p}_count").alias("count"), F.col(f"{p}_tokens").alias("tokens"), F.col(f"{p}_carried").alias("carried_tokens"))
     by_tool = tools.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", F.struct(*AGENT_TOOL))))).alias("by_tool"))
-    subs = F.col("subagent_calls") if "subagent_calls" in merged.columns else F.lit(0)
     data = F.to_json(F.struct(
-        F.lit("claude-code").alias("agent"), "sessions", "api_calls", subs.alias("subagent_calls"), "compactions", "tool_calls", F.round("cache_hit_pct", 1).alias("cache_hit_pct"),
+        F.lit("claude-code").alias("agent"), "sessions", "api_calls", "subagent_calls", "compactions", "tool_calls", F.round("cache_hit_pct", 1).alias("cache_hit_pct"),
         "peak_context", F.least(F.lit(100.0), F.round("carried_share_pct", 1)).alias("carried_share_pct"), F.struct(*AGENT_TOKENS).alias("tokens"),
         part("dup").alias("duplicate_reads"), part("large").alias("large_results"), part("failed").alias("failed_repeats"), "by_tool"))
     return merged.join(F.broadcast(by_tool)).select(_envelope("agent", data, client, version).alias("payload"))  # one row each

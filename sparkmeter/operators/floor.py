@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import scale
 from ..functions.numbers import PRICE, collapse_tool, percent
+from ..sources.agent_logs import main_chain
 from .audit import epoch_ends
 
 CHURN_TOLERANCE = 0.02
@@ -14,8 +15,11 @@ CAUSES = ("model_switch", "gap_under_5m", "gap_5m_to_1h", "gap_over_1h", "unknow
 LINE_ORDER = ["at", "rank", "pos"]
 
 
-def judged_results(uses: DataFrame, order: list[str] = ("result_ord",)) -> DataFrame:
-    """Results labelled W1 (same call, same result, same epoch as the previous one) or W2 (error)."""
+def judged_results(uses: DataFrame, order: list[str] = ("result_ord",), orphans: DataFrame | None = None) -> DataFrame:
+    """Results labelled W1 (same call, same result, same epoch as the previous one) or W2 (error).
+
+    `orphans`: results without their use, which are compared with nothing and can only be W2.
+    """
     state = F.struct("result_hash", F.col("result_epoch").alias("e"))
     rows = uses.where("has_result")
     if "result_blk" in rows.columns:  # results are ordered by arrival, so their own block counts
@@ -23,7 +27,10 @@ def judged_results(uses: DataFrame, order: list[str] = ("result_ord",)) -> DataF
     rows = scale.scan(rows, ["session_id", "ctx_key", "name", "input_sig"], list(order),
                       _prev=scale.previous(state))
     cat = F.when(F.col("_prev") == state, "W1").when(F.col("is_error"), "W2")
-    return rows.withColumn("category", cat).drop("_prev")
+    rows = rows.withColumn("category", cat).drop("_prev")
+    if orphans is not None:
+        rows = rows.unionByName(orphans.withColumn("category", F.when(F.col("is_error"), "W2")), allowMissingColumns=True)
+    return rows
 
 
 def write_rate(c5: str = "cache_write", c1: str = "cache_write_1h"):
@@ -34,8 +41,7 @@ def write_rate(c5: str = "cache_write", c1: str = "cache_write_1h"):
 
 def churn(calls: DataFrame, order: list[str] = ("k",)) -> DataFrame:
     """Main-chain calls that wrote again what the previous call had in its context."""
-    c = calls.where("ctx_key = 'main'") if "ctx_key" in calls.columns else calls
-    c = scale.scan(c, ["session_id"], list(order), p_ctx=scale.previous(F.col("context")),
+    c = scale.scan(main_chain(calls), ["session_id"], list(order), p_ctx=scale.previous(F.col("context")),
                    p_ts=scale.previous(F.col("ts")), p_model=scale.previous(F.col("model")))
     missed = F.least("cache_write", F.col("p_ctx") - F.col("cache_read"))
     gap = F.unix_micros("ts") - F.unix_micros("p_ts")
@@ -53,7 +59,7 @@ def churn_by_cause(events: DataFrame) -> DataFrame:
 
 def price_totals(calls: DataFrame) -> DataFrame:
     """Input by price class, its price, and the mean write rate of the main chain."""
-    main = F.col("ctx_key") == "main" if "ctx_key" in calls.columns else F.lit(True)
+    main = F.col("ctx_key") == "main"
     c = calls.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("context").alias("input_processed"),
         F.sum("input").alias("input"), F.sum("cache_read").alias("cache_read"),
@@ -72,7 +78,7 @@ def price_totals(calls: DataFrame) -> DataFrame:
 def carried_waste(judged: DataFrame, calls: DataFrame) -> DataFrame:
     """W1/W2 tokens re-read by later main calls of the same epoch."""
     main = judged.where("category IS NOT NULL AND ctx_key = 'main'")
-    ends = epoch_ends(calls.where("ctx_key = 'main'") if "ctx_key" in calls.columns else calls)
+    ends = epoch_ends(main_chain(calls))
     ends = ends.withColumnRenamed("epoch", "result_epoch")
     rows = main.join(ends, ["session_id", "result_epoch"], "left")
     later = F.greatest(F.lit(0), F.coalesce("epoch_end", F.lit(0)) - F.col("result_at"))

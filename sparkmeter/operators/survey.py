@@ -160,21 +160,27 @@ def observed_post(calls: DataFrame, order: list[str] = ("k",)) -> DataFrame:
 # ---------------------------------------------------------------- before / after
 
 
-def summarize_sides(calls: DataFrame, instr: DataFrame, floors: DataFrame | None = None, order: list[str] = ("k",)) -> DataFrame:
-    """One row per ``side``. calls and instr carry the side column; floors is optional and used only if
-    both sides have it."""
-    per = calls.groupBy("side", "session_id").agg(F.count(F.lit(1)).alias("calls"), F.max("epoch").alias("comps"))
+def summarize_sides(calls: DataFrame, floors: DataFrame | None = None, order: list[str] = ("k",)) -> DataFrame:
+    """One row per ``side`` (a column of calls) over the main chains of sessions that have one.
+
+    Sub-agents' calls are only counted. floors, one row a session with its side, is used only if both sides have
+    it; its calls take in sub-agents.
+    """
+    main = main_chain(calls)
+    instr = main.where("instr >= 1").groupBy("side", "session_id", "instr").agg(F.count(F.lit(1)).alias("calls"), F.sum("context").alias("input"))
+    is_main = F.col("ctx_key") == "main"
+    per = calls.groupBy("side", "session_id").agg(F.count(F.when(is_main, 1)).alias("calls"), F.count(F.when(~is_main, 1)).alias("sub_calls"), F.max(F.when(is_main, F.col("epoch"))).alias("comps")).where("calls > 0")
     n_instr = instr.groupBy("side", "session_id").agg(F.count(F.lit(1)).alias("n_instr"))
     per = per.join(n_instr, ["side", "session_id"], "left").fillna(0)
     s = per.groupBy("side").agg(
-        F.count(F.lit(1)).alias("sessions"), F.sum("calls").alias("calls"), F.sum("n_instr").alias("instructions"),
+        F.count(F.lit(1)).alias("sessions"), F.sum("calls").alias("calls"), F.sum("sub_calls").alias("subagent_calls"), F.sum("n_instr").alias("instructions"),
         (1000 * F.sum("comps") / F.sum("calls")).alias("compactions_per_1000_calls"),
         (F.sum("n_instr") / F.count(F.lit(1))).alias("instructions_per_session"))
-    dec = decomposed_calls(calls, order=order).groupBy("side").agg(
+    dec = decomposed_calls(main, order=order).groupBy("side").agg(
         (F.sum("carried") / F.sum("context")).alias("carried_share"))
     s = s.join(dec, "side")
     for df, value, name in ((instr, "input", "median_input_per_instruction"), (instr, "calls", "median_steps_per_instruction"),
-                            (calls, "context", "median_context_per_call"), (per, "n_instr", "instructions_per_session_median")):
+                            (main, "context", "median_context_per_call"), (per, "n_instr", "instructions_per_session_median")):
         s = s.join(scale.exact_percentiles(df, ["side"], value, **{name: 0.5}), "side", "left")
     if floors is not None:
         f = floors.groupBy("side").agg(
@@ -188,6 +194,13 @@ def summarize_sides(calls: DataFrame, instr: DataFrame, floors: DataFrame | None
     return s.withColumn("too_small", (F.col("sessions") < MIN_SESSIONS) | (F.col("instructions") < MIN_INSTRUCTIONS))
 
 
+def side_models(calls: DataFrame) -> DataFrame:
+    """(side, model, sessions): each session counts for the model of most of its main-chain calls, of equal ones the first used."""
+    used = main_chain(calls).groupBy("side", "session_id", F.coalesce("model", F.lit("?")).alias("model")).agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_k"))
+    own = used.groupBy("side", "session_id").agg(F.max_by("model", F.struct("n", -F.col("first_k"))).alias("model"))
+    return own.groupBy("side", "model").agg(F.count(F.lit(1)).alias("sessions"))
+
+
 def ratios(sides: DataFrame, measures: list[str]) -> DataFrame:
     """(measure, before, after, ratio); null when the before value is null or 0."""
     long = sides.select("side", F.inline(F.array(*[

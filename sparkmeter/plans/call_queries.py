@@ -16,12 +16,12 @@ def c(sql: str) -> str:
 
 
 def _calls(spark, sf):
-    return tables.calls(spark, sf).withColumn("ctx_key", F.lit("main"))
+    return tables.calls(spark, sf)
 
 
 def _uses(spark, sf):
     u = tables.tool_uses(spark, sf)
-    return u.withColumns({"ctx_key": F.lit("main"), "use_id": F.col("event_id"), "call_k": F.col("k"), "result_epoch": F.col("epoch"),
+    return u.withColumns({"use_id": F.col("event_id"), "call_k": F.col("k"), "result_epoch": F.col("epoch"),
                           "result_instr": F.col("instr"), "result_at": F.col("k") + 1, "result_ctx_at": F.col("k") + 1})
 
 
@@ -141,6 +141,15 @@ def audit_tips(spark, sf):
     return audit.tips(_audit(spark, sf))
 
 
+@query("subagent_calls_merged", c("SELECT CAST(count(DISTINCT session_id) FILTER (WHERE NOT is_side) AS BIGINT) AS sessions, CAST(count(*) FILTER (WHERE NOT is_side) AS BIGINT) AS api_calls, CAST(count(*) FILTER (WHERE is_side AND session_id IN (SELECT session_id FROM calls WHERE NOT is_side)) AS BIGINT) AS subagent_calls FROM calls"))
+def subagent_calls_merged(spark, sf):
+    """Sub-agents' calls in the export's totals; the tool uses are those of the main chain."""
+    calls = tables.calls_with_sides(spark, sf)
+    uses = tables.tool_uses(spark, sf).where("event_id % 7 <> 0")
+    merged = audit.merge(audit.audit(calls, uses, EV))
+    return audit.export(merged, audit.by_tool(audit.with_carry(uses, calls))).select("sessions", "api_calls", "subagent_calls")
+
+
 @query("audit_export")
 def audit_export(spark, sf):
     uses = audit.with_carry(tables.tool_uses(spark, sf), tables.calls(spark, sf))
@@ -297,7 +306,7 @@ def instruction_input_quartiles(spark, sf):
 
 @query("subagent_rollup", c("SELECT session_id, is_side, CAST(count(*) AS BIGINT) AS api_calls, CAST(sum(context) AS BIGINT) AS input_processed, CAST(sum(cache_read) AS BIGINT) AS cache_read, CAST(sum(cache_write) AS BIGINT) AS cache_write, CAST(sum(output) AS BIGINT) AS output FROM calls GROUP BY 1, 2"))
 def subagent_rollup(spark, sf):
-    return survey.subagent_rollup(tables.calls(spark, sf))
+    return survey.subagent_rollup(tables.calls_with_sides(spark, sf))
 
 
 DEC = """dec0 AS (SELECT *, first_value(context) OVER (PARTITION BY session_id ORDER BY k) AS base, first_value(context) OVER (PARTITION BY session_id, instr ORDER BY k) AS start FROM calls),
@@ -352,44 +361,60 @@ def post_compaction_size(spark, sf):
     return survey.observed_post(tables.calls(spark, sf), EV)
 
 
-SIDES = f"""{DEC}, {INSTR}, half AS (SELECT session_id, CASE WHEN session_id % 2 = 0 THEN 'before' ELSE 'after' END AS side FROM (SELECT DISTINCT session_id FROM calls)),
-per AS (SELECT side, session_id, count(*) AS calls, max(epoch) AS comps, (SELECT count(*) FROM ins i WHERE i.session_id = c.session_id) AS n_instr FROM calls c JOIN half USING (session_id) GROUP BY 1, 2)"""
+#: The main chains of calls of which every seventh event's is a sub-agent's, by side.
+SIDES = """sided AS (SELECT *, CASE WHEN session_id % 2 = 0 THEN 'before' ELSE 'after' END AS side FROM calls),
+mc AS (SELECT * REPLACE (row_number() OVER (PARTITION BY session_id ORDER BY k) - 1 AS k) FROM sided WHERE NOT is_side),
+dec0 AS (SELECT *, first_value(context) OVER (PARTITION BY session_id ORDER BY k) AS base, first_value(context) OVER (PARTITION BY session_id, instr ORDER BY k) AS start FROM mc),
+dec AS (SELECT *, greatest(0, least(context, start) - base) AS carried FROM dec0),
+ins AS (SELECT side, session_id, instr, count(*) AS calls, sum(context)::BIGINT AS input FROM mc WHERE instr >= 1 GROUP BY ALL),
+per AS (SELECT side, session_id, count(*) AS calls, max(epoch) AS comps, (SELECT count(*) FROM ins i WHERE i.session_id = mc.session_id) AS n_instr,
+  (SELECT count(*) FROM sided b WHERE b.session_id = mc.session_id AND b.is_side) AS sub_calls FROM mc GROUP BY side, session_id)"""
 
 
 def _sided(spark, sf):
-    side = F.when(F.col("session_id") % 2 == 0, "before").otherwise("after")
-    calls = _calls(spark, sf).withColumn("side", side)
-    instr = survey.per_instruction(calls).withColumn("side", side)
-    return calls, instr, side
+    return tables.calls_with_sides(spark, sf).withColumn("side", _side())
+
+
+def _side():
+    return F.when(F.col("session_id") % 2 == 0, "before").otherwise("after")
 
 
-@query("before_after_summary", with_views(f"{CALLS},\n{SIDES}", """SELECT p.side, CAST(count(*) AS BIGINT) AS sessions, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(n_instr) AS BIGINT) AS instructions, 1000::DOUBLE * sum(comps) / sum(calls) AS compactions_per_1000_calls,
-  sum(n_instr)::DOUBLE / count(*) AS instructions_per_session, quantile_cont(n_instr, 0.5)::DOUBLE AS instructions_per_session_median,
-  (SELECT sum(carried)::DOUBLE / sum(context) FROM dec JOIN half h USING (session_id) WHERE h.side = p.side) AS carried_share,
-  (SELECT quantile_cont(input, 0.5)::DOUBLE FROM ins JOIN half h USING (session_id) WHERE h.side = p.side) AS median_input_per_instruction,
-  (SELECT quantile_cont(context, 0.5)::DOUBLE FROM calls JOIN half h USING (session_id) WHERE h.side = p.side) AS median_context_per_call,
+@query("before_after_summary", with_views(f"{CALLS},\n{SIDES}", """SELECT p.side, CAST(count(*) AS BIGINT) AS sessions, CAST(sum(calls) AS BIGINT) AS calls, CAST(sum(sub_calls) AS BIGINT) AS subagent_calls, CAST(sum(n_instr) AS BIGINT) AS instructions,
+  1000::DOUBLE * sum(comps) / sum(calls) AS compactions_per_1000_calls, sum(n_instr)::DOUBLE / count(*) AS instructions_per_session, quantile_cont(n_instr, 0.5)::DOUBLE AS instructions_per_session_median,
+  (SELECT sum(carried)::DOUBLE / sum(context) FROM dec WHERE dec.side = p.side) AS carried_share,
+  (SELECT quantile_cont(input, 0.5)::DOUBLE FROM ins WHERE ins.side = p.side) AS median_input_per_instruction, (SELECT quantile_cont(calls, 0.5)::DOUBLE FROM ins WHERE ins.side = p.side) AS median_steps_per_instruction,
+  (SELECT quantile_cont(context, 0.5)::DOUBLE FROM mc WHERE mc.side = p.side) AS median_context_per_call,
   count(*) < 5 OR sum(n_instr) < 30 AS too_small FROM per p GROUP BY p.side"""))
 def before_after_summary(spark, sf):
-    calls, instr, _ = _sided(spark, sf)
-    s = survey.summarize_sides(calls, instr, order=EV)
-    return s.select("side", "sessions", "calls", "instructions", "compactions_per_1000_calls", "instructions_per_session", "instructions_per_session_median", "carried_share",
-                    "median_input_per_instruction", "median_context_per_call", "too_small")
+    return survey.summarize_sides(_sided(spark, sf), order=EV)
 
 
 @query("before_after_ratios", with_views(f"{CALLS},\n{SIDES}", """SELECT measure, max(v) FILTER (WHERE side = 'before') AS before, max(v) FILTER (WHERE side = 'after') AS "after", max(v) FILTER (WHERE side = 'after') / max(v) FILTER (WHERE side = 'before') AS ratio FROM (
-  SELECT side, 'median_input_per_instruction' AS measure, quantile_cont(input, 0.5)::DOUBLE AS v FROM ins JOIN half USING (session_id) GROUP BY 1 UNION ALL
-  SELECT side, 'carried_share', sum(carried)::DOUBLE / sum(context) FROM dec JOIN half USING (session_id) GROUP BY 1) GROUP BY 1"""))
+  SELECT side, 'median_input_per_instruction' AS measure, quantile_cont(input, 0.5)::DOUBLE AS v FROM ins GROUP BY 1 UNION ALL
+  SELECT side, 'carried_share', sum(carried)::DOUBLE / sum(context) FROM dec GROUP BY 1) GROUP BY 1"""))
 def before_after_ratios(spark, sf):
-    calls, instr, _ = _sided(spark, sf)
-    return survey.ratios(survey.summarize_sides(calls, instr, order=EV), ["median_input_per_instruction", "carried_share"])
+    return survey.ratios(survey.summarize_sides(_sided(spark, sf), order=EV), ["median_input_per_instruction", "carried_share"])
+
+
+@query("before_after_models", with_views(f"{CALLS},\n{SIDES}", """SELECT side, model, count(*) AS sessions FROM (
+  SELECT side, session_id, model, row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, min(k)) AS rn FROM mc GROUP BY side, session_id, model) WHERE rn = 1 GROUP BY ALL"""))
+def before_after_models(spark, sf):
+    return survey.side_models(_sided(spark, sf))
+
+
+@query("before_after_floor", f("""SELECT CASE WHEN session_id % 2 = 0 THEN 'before' ELSE 'after' END AS side, round(100.0 * sum((w1_tokens + w2_tokens) * write_rate + w6_price) / sum(price_total), 6) AS removable_cost_pct,
+  round(100.0 * sum(w1_tokens + w2_tokens) / sum(input_processed), 6) AS removable_tokens_pct, round(1000.0 * sum(w1_count) / (SELECT count(*) FROM calls c WHERE c.session_id % 2 = any_value(floors.session_id) % 2), 6) AS w1_per_1000_calls FROM floors GROUP BY 1"""))
+def before_after_floor(spark, sf):
+    """Removable cost and duplicates of both sides, over calls that are all of the main chain."""
+    s = survey.summarize_sides(tables.calls(spark, sf).withColumn("side", _side()), _floor(spark, sf).withColumn("side", _side()), EV)
+    return s.select("side", *[F.round(c, 6).alias(c) for c in ("removable_cost_pct", "removable_tokens_pct", "w1_per_1000_calls")])
 
 
 @query("before_after_interval")
 def before_after_interval(spark, sf):
     from ..operators.policy import bootstrap_ratio
 
-    _, instr, _ = _sided(spark, sf)
-    return bootstrap_ratio(instr, reps=200)
+    return bootstrap_ratio(survey.per_instruction(_sided(spark, sf)).withColumn("side", _side()), reps=200)
 
 
 # ---------------------------------------------------------------- what-if

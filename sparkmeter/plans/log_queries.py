@@ -99,6 +99,22 @@ def log_duplicate_results(spark, sf):
     return floor.judged_results(al.tool_uses(indexed(spark, sf))).where("category IS NOT NULL").select("session_id", "use_id", "category")
 
 
+@query("log_failures_with_orphans", with_views(CALLS, """SELECT session_id::VARCHAR AS session_id, category, count(*) AS n, CAST(sum(orphan) AS BIGINT) AS orphans FROM (
+  SELECT session_id, 0 AS orphan, CASE WHEN lag(result_hash) OVER w = result_hash AND lag(epoch) OVER w = epoch THEN 'W1' WHEN is_error THEN 'W2' END AS category
+  FROM tools WHERE has_result WINDOW w AS (PARTITION BY session_id, name, regexp_extract(input_sig, '([0-9]+)', 1) ORDER BY k)
+  UNION ALL SELECT session_id, 1, 'W2' FROM calls WHERE event_id % 46 = 0) WHERE category IS NOT NULL GROUP BY ALL"""))
+def log_failures_with_orphans(spark, sf):
+    """Beside every 23rd event a result whose use is in no line, every other one an error."""
+    c = tables.calls(spark, sf).where("event_id % 23 = 0")
+    sid, iso = F.col("session_id").cast("string"), F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), L("Z"))
+    block = F.struct(L("tool_result").alias("type"), F.when(F.col("event_id") % 3 != 0, F.concat(L("gone"), F.col("event_id").cast("string"))).alias("tool_use_id"), (F.col("event_id") % 46 == 0).alias("is_error"), L("lost").alias("content"))
+    line = _json(type=L("user"), sessionId=sid, timestamp=iso, message=F.struct(L("user").alias("role"), F.array(block).alias("content")))
+    more = c.select(sid.alias("session_id"), F.unix_micros("ts").alias("at"), L(0).cast("bigint").alias("rank"), (F.col("event_id") * 10 - 1).alias("pos"), line.alias("value"))
+    ix = al.index_lines(al.parse_lines(raw_lines(spark, sf).unionByName(more)))
+    judged = floor.judged_results(al.tool_uses(ix), orphans=al.orphan_results(ix)).where("category IS NOT NULL")
+    return judged.groupBy("session_id", "category").agg(F.count(L(1)).alias("n"), F.sum(F.col("name").isNull().cast("bigint")).alias("orphans"))
+
+
 @query("log_audit", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, CAST(count(*) AS BIGINT) AS api_calls, CAST(sum(context) AS BIGINT) AS processed_input, max(context) AS peak_context FROM calls GROUP BY 1"))
 def log_audit(spark, sf):
     ix = indexed(spark, sf, audit_mode=True)
@@ -114,7 +130,7 @@ def with_side_lines(spark, sf):
     message = F.struct(F.concat(L("s"), F.col("event_id").cast("string")).alias("id"), L("assistant").alias("role"), F.col("model"), usage.alias("usage"), F.array(said).alias("content"))
     lines = F.array(
         F.when(F.col("event_id") % 70 == 35, _json(type=L("user"), sessionId=sid, timestamp=iso, isCompactSummary=L(True), message=F.struct(L("user").alias("role"), L("summary so far").alias("content")))),
-        F.when(F.col("is_side"), _json(type=L("assistant"), sessionId=sid, timestamp=iso, isSidechain=L(True), agentId=L("a1"), message=message)))
+        F.when(F.col("event_id") % 7 == 0, _json(type=L("assistant"), sessionId=sid, timestamp=iso, isSidechain=L(True), agentId=L("a1"), message=message)))
     more = c.select(sid.alias("session_id"), F.unix_micros("ts").alias("at"), "event_id", F.posexplode(lines).alias("p", "value")).where("value IS NOT NULL")
     # before the event's own lines
     more = more.select("session_id", "at", L(0).cast("bigint").alias("rank"), (F.col("event_id") * 10 - 2 + F.col("p")).alias("pos"), "value")

@@ -155,11 +155,15 @@ def index_lines(lines: DataFrame, audit_mode: bool = False) -> DataFrame:
 
 
 def main_chain(df: DataFrame) -> DataFrame:
-    """Rows of the main chain of transcripts; frames without contexts are main chains already.
+    """Rows of the main chain. Sub-agents have contexts of their own, in which calls count from 0 again.
 
-    Sub-agents have contexts of their own, in which calls count from 0 again.
+    A frame that tells of no contexts at all is one chain; one that marks side calls must name their contexts.
     """
-    return df.where(~F.col("is_side")) if {"is_side", "ctx_key"} <= set(df.columns) else df
+    if "ctx_key" in df.columns:
+        return df.where("ctx_key = 'main'")
+    if "is_side" in df.columns:
+        raise ValueError("calls marked is_side need ctx_key, the context they belong to")
+    return df
 
 
 # ---------------------------------------------------------------- silver tables
@@ -218,8 +222,39 @@ def text_of(content: Column) -> Column:
         F.coalesce(F.try_variant_get(content, "$", "string"), F.lit("")))
 
 
+def spaced_json(json: Column) -> Column:
+    """Compact JSON text with a blank behind each comma and colon that stands outside strings."""
+    quote, backslash = "\ufdd0", "\ufdd1"  # escapes are put aside, so that quotes alternate between opening and closing
+    masked = F.replace(F.replace(json, F.lit("\\\\"), F.lit(backslash)), F.lit('\\"'), F.lit(quote))
+    parts = F.transform(F.split(masked, '"'), lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, "([,:])", "$1 ")).otherwise(x))
+    return F.replace(F.replace(F.array_join(parts, '"'), F.lit(quote), F.lit('\\"')), F.lit(backslash), F.lit("\\\\"))
+
+
 def tool_uses(indexed: DataFrame) -> DataFrame:
     """One row per tool use with its first result. Uses without a result are kept."""
+    uses, res = _uses(indexed), _first_by(_results(indexed), ["session_id", "use_id"], [*ORDER, "bpos"])
+    res = res.select("session_id", "use_id", *[F.struct(*ORDER, "bpos").alias("result_ord")], *[c for c in RESULT + ["result_blk"] if c in res.columns])
+    out = uses.join(res, ["session_id", "use_id"], "left")
+    return out.withColumns({
+        "has_result": F.col("result_ord").isNotNull(),
+        "is_error": F.coalesce("is_error", F.lit(False)),
+        "images": F.coalesce("images", F.lit(0)),
+        "result_tokens": F.coalesce("result_tokens", F.lit(0)),
+        "text_tokens": F.coalesce("text_tokens", F.lit(0)),
+    })
+
+
+def orphan_results(indexed: DataFrame) -> DataFrame:
+    """Results whose use is not in the session's log, shaped as tool_uses() without what only a use says.
+
+    They take part in no pairing, but an error among them is a failure all the same.
+    """
+    known = _uses(indexed).select("session_id", "use_id")
+    rows = _results(indexed).join(known, ["session_id", "use_id"], "left_anti")
+    return rows.select("session_id", "use_id", "ctx_key", "is_side", F.struct(*ORDER, "bpos").alias("result_ord"), *[c for c in RESULT + ["result_blk"] if c in rows.columns]).withColumn("has_result", F.lit(True))
+
+
+def _uses(indexed: DataFrame) -> DataFrame:
     b = F.col("b")
     carry = ["session_id", "ctx_key", "is_side", *ORDER, "epoch", "instr", "main_calls", "ctx_calls", "call_k"]
     carry += [scale.BLOCK] if scale.BLOCK in indexed.columns else []
@@ -239,11 +274,18 @@ def tool_uses(indexed: DataFrame) -> DataFrame:
                    F.try_variant_get(arg, "$.new_source", "string"), F.lit("")).alias("body"),
     )
     uses = _first_by(uses, ["session_id", "use_id"], [*ORDER, "bpos"])
-    uses = uses.withColumn("k", F.greatest(F.lit(0), F.col("main_calls") - 1))
+    return uses.withColumn("k", F.greatest(F.lit(0), F.col("main_calls") - 1))
+
+
+#: What a result tells, beside its place.
+RESULT = ["result_epoch", "result_instr", "result_at", "result_ctx_at", "is_error", "result_tokens", "text_tokens", "images", "result_hash", "result_text"]
 
+
+def _results(indexed: DataFrame) -> DataFrame:
+    b = F.col("b")
     result_block = [F.col(scale.BLOCK).alias("result_blk")] if scale.BLOCK in indexed.columns else []
     res = indexed.where((F.col("type") == "user") & F.col("blocks").isNotNull()).select(
-        "session_id", *ORDER, "epoch", "instr", "main_calls", "ctx_calls", *([scale.BLOCK] if result_block else []), F.posexplode("blocks").alias("bpos", "b"))
+        "session_id", "ctx_key", "is_side", *ORDER, "epoch", "instr", "main_calls", "ctx_calls", *([scale.BLOCK] if result_block else []), F.posexplode("blocks").alias("bpos", "b"))
     content = F.try_variant_get(b, "$.content", "variant")
     items = F.try_variant_get(content, "$", "array<variant>")
     by_block = F.aggregate(
@@ -251,8 +293,8 @@ def tool_uses(indexed: DataFrame) -> DataFrame:
         lambda acc, x: acc + tx.estimate_tokens(F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))))
     joined = F.array_join(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), "\n")
     whole = F.when(items.isNotNull(), joined).otherwise(F.coalesce(F.try_variant_get(content, "$", "string"), F.lit("")))
-    res = res.where(block_type(b) == "tool_result").select(
-        "session_id", F.try_variant_get(b, "$.tool_use_id", "string").alias("use_id"), *ORDER, "bpos",
+    return res.where(block_type(b) == "tool_result").select(
+        "session_id", "ctx_key", "is_side", F.try_variant_get(b, "$.tool_use_id", "string").alias("use_id"), *ORDER, "bpos",
         F.col("epoch").alias("result_epoch"), F.col("instr").alias("result_instr"),
         F.col("main_calls").alias("result_at"), F.col("ctx_calls").alias("result_ctx_at"), *result_block,
         F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
@@ -262,17 +304,6 @@ def tool_uses(indexed: DataFrame) -> DataFrame:
         F.sha2(F.to_json(content), 256).alias("result_hash"),
         text_of(content).alias("result_text"),
     )
-    res = _first_by(res, ["session_id", "use_id"], [*ORDER, "bpos"]).select(
-        "session_id", "use_id", F.struct(*ORDER, "bpos").alias("result_ord"), "result_epoch", "result_instr", "result_at",
-        "result_ctx_at", "is_error", "result_tokens", "text_tokens", "images", "result_hash", "result_text", *(["result_blk"] if result_block else []))
-    out = uses.join(res, ["session_id", "use_id"], "left")
-    return out.withColumns({
-        "has_result": F.col("result_ord").isNotNull(),
-        "is_error": F.coalesce("is_error", F.lit(False)),
-        "images": F.coalesce("images", F.lit(0)),
-        "result_tokens": F.coalesce("result_tokens", F.lit(0)),
-        "text_tokens": F.coalesce("text_tokens", F.lit(0)),
-    })
 
 
 def segments(indexed: DataFrame) -> DataFrame:
@@ -289,7 +320,7 @@ def segments(indexed: DataFrame) -> DataFrame:
     kind_of = block_type(b)
     raw_text = F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit(""))
     name = F.try_variant_get(b, "$.name", "string")
-    wrote = F.when(kind_of == "text", raw_text).when(kind_of == "tool_use", F.to_json(F.try_variant_get(b, "$.input", "variant")))
+    wrote = F.when(kind_of == "text", raw_text).when(kind_of == "tool_use", spaced_json(F.to_json(F.try_variant_get(b, "$.input", "variant"))))
     got = F.when(kind_of == "tool_result", text_of(F.try_variant_get(b, "$.content", "variant"))).when(kind_of == "text", raw_text)
     answer = (F.col("type") == "assistant") & F.col("call_k").isNotNull()
     user = F.col("type") == "user"

@@ -71,7 +71,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_id") % 50 == 0).cast("bigint").alias("is_compact"),
         F.floor("value").cast("bigint").alias("output"),
         F.when(F.col("event_id") % 40 == 0, "b").otherwise("a").alias("model"),
-        (F.col("event_id") % 7 == 0).alias("is_side"),
+        F.lit(False).alias("is_side"), F.lit("main").alias("ctx_key"),
     )
     order = ["ts", "event_id"]
     e = scale.scan(e, ["session_id"], order, k=scale.row_index(), epoch=scale.running_sum(F.col("is_compact")),
@@ -87,6 +87,13 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "input": F.lit(0).cast("bigint")})
 
 
+def calls_with_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same calls, every seventh event's being a sub-agent's. Each context counts its calls from 0."""
+    c = calls(spark, sf_dir).withColumn("is_side", F.col("event_id") % 7 == 0)
+    c = c.withColumn("ctx_key", F.when(F.col("is_side"), "side:a1").otherwise("main"))
+    return scale.scan(c.drop("k"), ["session_id", "ctx_key"], ["ts", "event_id"], k=scale.row_index())
+
+
 def tool_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = calls(spark, sf_dir)
     return c.withColumns({

@@ -297,3 +297,28 @@ def test_threads_pivot_and_return(spark):
     ex = lambda c: df.select("conv_id", "idx", F.explode(c).alias("word"))
     got = {r["idx"]: (r["branch"], r["depth"], r["edge"], r["edge_to"]) for r in chat.threads(df, ex("topics"), ex("cues")).collect()}
     assert got == {0: (0, 0, None, None), 1: (0, 0, "ANSWERS", 0), 2: (0, 1, "DEEPENS", 0), 3: (1, 0, "PIVOTS", 2), 4: (0, 2, "RETURNS", 2), 5: (0, 2, "REVISITS", 4), 6: (1, 0, "RETRIES", 3)}
+
+
+def test_error_results_without_their_use_are_failures(spark, tmp_path):
+    """An orphan is compared with nothing; an error among orphans is W2, with or without an id."""
+    def result(i, error, text="same"):
+        return {"type": "user", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": i, "is_error": error, "content": text}]}}
+
+    use = {"type": "assistant", "message": {"id": "m1", "usage": {"input_tokens": 5}, "content": [{"type": "tool_use", "id": "u1", "name": "Bash", "input": {"command": "x"}}]}}
+    lines = [use, result("u1", True), result("gone", True), result("gone", True), result(None, True, "abcdefgh"), result("gone2", False)]
+    path = tmp_path / "s.jsonl"
+    path.write_text("\n".join(json.dumps(x) for x in lines))
+    ix = al.index_lines(al.parse_lines(al.read_agent_logs(spark, [str(tmp_path)])))
+    got = floor.judged_results(al.tool_uses(ix), orphans=al.orphan_results(ix)).collect()
+    assert sorted(((r.use_id or "", r.category) for r in got), key=str) == [("", "W2"), ("gone", "W2"), ("gone", "W2"), ("gone2", None), ("u1", "W2")]
+    total = floor.floor(al.calls(ix), floor.judged_results(al.tool_uses(ix), orphans=al.orphan_results(ix)), floor.churn(al.calls(ix), al.ORDER)).first()
+    assert (total.w2_count, total.w2_tokens) == (4, 1 + 1 + 1 + 2)
+
+
+def test_tool_inputs_are_counted_as_written(spark):
+    """Blanks stand behind commas and colons, but not inside strings, whatever their escapes."""
+    inputs = [{"a": "longer words here", "x": 1}, {"k": 'say "a,b:c" \\', "l": [1, 2, {"m": None}]}, {"e": "\\\\", "f": "a,b"}, {"n": "line\nbreak, tab\t:"}, {}]
+    for x in inputs:
+        text = json.dumps(x, ensure_ascii=False, sort_keys=True)
+        df = spark.createDataFrame([(json.dumps(x),)], "j string").select(al.spaced_json(F.to_json(F.parse_json("j"))).alias("t"))
+        assert df.first().t == text
