@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import scale
+from ..functions.digests import multiset_digest
 from ..functions.numbers import length_bucket, percent, split_of, wilson
 from .bound import PINNED, SEG, with_gaps
 
@@ -278,15 +279,8 @@ def detector_quality(answers: DataFrame, population: DataFrame) -> DataFrame:
 
 
 def manifest_digest(fingerprints: DataFrame) -> DataFrame:
-    """One digest of the session fingerprints, and how many there are.
-
-    Two levels, so no list grows with the corpus: fingerprints are hashed in sorted order per prefix
-    of their own hash (65,536 prefixes), then the prefix digests in sorted order.
-    """
-    fp = fingerprints.select(F.col("fingerprint").cast("string").alias("f"))
-    fp = fp.withColumn("p", F.substring(F.sha2("f", 256), 1, 4))
-    parts = fp.groupBy("p").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("f")), "\n"), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), "\n"), 256).alias("digest"), F.sum("n").alias("sessions"))
+    """One digest of the session fingerprints, whatever their order, and how many there are."""
+    return fingerprints.agg(multiset_digest(F.col("fingerprint").cast("string")).alias("digest"), F.count(F.lit(1)).alias("sessions"))
 
 
 def sensitivity_summary(cells: DataFrame) -> DataFrame:

@@ -139,6 +139,6 @@ def replay(ser: DataFrame, scenarios: list[Scenario], block_rows: int = 20_000)
 def sweep(calls: DataFrame, scenarios: list[Scenario] | None = None, base: DataFrame | None = None, order: list[str] = ("k",)) -> DataFrame:
     """(scenario, input, measured, saved_pct) pooled over sessions."""
     r = replay(series(calls, base, order), scenarios or standard_scenarios())
-    m = calls.agg(F.sum("context").alias("measured"))
+    m = main_chain(calls).agg(F.sum("context").alias("measured"))
     t = r.groupBy("scenario").agg(F.sum("input").alias("input"), F.sum("restarts").alias("restarts"), F.sum("compactions").alias("compactions"))
     return t.join(F.broadcast(m)).withColumn("saved_pct", 100 * (1 - F.col("input") / F.col("measured")))  # one row

@@ -309,9 +309,8 @@ def detector_quality(spark, sf):
     return q.select("detected", "not_detected", *[F.round(c, 6).alias(c) for c in ("precision_p", "missed_p", "recall_estimate")])
 
 
-@query("session_manifest", """WITH f AS (SELECT DISTINCT 'c' || conv_id AS f FROM conversations WHERE role IN ('user', 'assistant')),
-p AS (SELECT substr(sha256(f), 1, 4) AS p, sha256(string_agg(f, chr(10) ORDER BY f)) AS d, count(*) AS n FROM f GROUP BY 1)
-SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS sessions FROM p""")
+@query("session_manifest", """WITH f AS (SELECT DISTINCT sha256('c' || conv_id) AS h FROM conversations WHERE role IN ('user', 'assistant'))
+SELECT sha256(coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT), 0)::VARCHAR || ',' || coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT), 0)::VARCHAR || ',' || coalesce(sum(('0x' || substr(h, 31, 15))::BIGINT), 0)::VARCHAR || ',' || coalesce(sum(('0x' || substr(h, 46, 15))::BIGINT), 0)::VARCHAR || ',' || count(*)) AS digest, count(*) AS sessions FROM f""")
 def session_manifest(spark, sf):
     ids = tables.turns(spark, sf).select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("fingerprint")).distinct()
     return policy.manifest_digest(ids)

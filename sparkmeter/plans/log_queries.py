@@ -3,8 +3,12 @@ chunks inside Spark, then read by the library's own parsers."""
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import scale
 from ..operators import audit, floor, labels, ledger, rules, survey
 from ..sources import agent_logs as al
 from ..sources import chats, event_pages, tables
@@ -357,3 +361,29 @@ def chunk_rows(spark, sf):
 def metered_replies(spark, sf):
     reqs = tables.load(spark, sf, "events").select(F.col("event_id").alias("request_id"), L(100).cast("bigint").alias("input_estimate"))
     return ledger.metered(chunk_rows(spark, sf), reqs).select("request_id", "input_tokens", "output_tokens", "measured")
+
+
+# ---------------------------------------------------------------- everything in one run
+
+
+@query("bundle_tables", with_views(SIDE, """SELECT 'dataset' AS name, count(DISTINCT session_id)::BIGINT AS n_rows, sum(context)::BIGINT AS input, sum(is_instr)::BIGINT AS found FROM calls
+UNION ALL SELECT 'floor', count(DISTINCT session_id)::BIGINT, sum(context)::BIGINT + (SELECT sum(context + 90007)::BIGINT FROM calls WHERE event_id % 7 = 0), (SELECT count(*) FROM (
+  SELECT lag(result_hash) OVER w = result_hash AND lag(epoch) OVER w = epoch AS dup, is_error FROM tools WHERE has_result WINDOW w AS (PARTITION BY session_id, name, regexp_extract(input_sig, '([0-9]+)', 1) ORDER BY k)) WHERE dup OR is_error)::BIGINT FROM calls
+UNION ALL SELECT 'bound', count(DISTINCT session_id)::BIGINT, sum(context)::BIGINT, count(*)::BIGINT FROM calls
+UNION ALL SELECT 'whatif', 1::BIGINT, sum(context)::BIGINT, 0::BIGINT FROM calls"""))
+def bundle_tables(spark, sf):
+    """One run over transcripts with sub-agents; of the what-ifs only the measured input, on which all of them agree."""
+    from ..operators import bundle
+
+    out = f"{scale.shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    manifest = bundle.run(with_side_lines(spark, sf), out, "events")
+    t = {name: spark.read.parquet(f"{out}/gold/{name}") for name in manifest["tables"]}
+    size = lambda name: L(manifest["tables"][name]["rows"]).cast("bigint").alias("n_rows")
+    total = lambda c: F.coalesce(F.sum(c), L(0)).cast("bigint")
+    parts = [
+        t["dataset"].agg(L("dataset").alias("name"), size("dataset"), total("input_processed").alias("input"), total("user_instructions").alias("found")),
+        t["floor"].agg(L("floor").alias("name"), size("floor"), total("input_processed").alias("input"), total(F.col("w1_count") + F.col("w2_count")).alias("found")),
+        t["bound"].agg(L("bound").alias("name"), size("bound"), total("measured_input").alias("input"), total("api_calls").alias("found")),
+        t["whatif"].agg(L("whatif").alias("name"), F.count_distinct("measured").alias("n_rows"), F.max("measured").cast("bigint").alias("input"), L(0).cast("bigint").alias("found")),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)

@@ -239,8 +239,8 @@ def effective_compute(spark, sf):
 # ---------------------------------------------------------------- digests and report tables
 
 
-@query("dataset_digest", with_views(CALLS, """d AS (SELECT sha256('{"calls":' || count(*) || ',"input":' || sum(context) || ',"session_id":' || session_id || '}') AS h FROM calls GROUP BY session_id),
-p AS (SELECT substr(h, 1, 4) AS p, sha256(string_agg(h, chr(10) ORDER BY h)) AS d, count(*) AS n FROM d GROUP BY 1) SELECT sha256(string_agg(d, chr(10) ORDER BY d)) AS digest, CAST(sum(n) AS BIGINT) AS rows FROM p"""))
+@query("dataset_digest", with_views(CALLS, """d AS (SELECT sha256('{"calls":' || count(*) || ',"input":' || sum(context) || ',"session_id":' || session_id || '}') AS h FROM calls GROUP BY session_id)
+SELECT sha256(coalesce(sum(('0x' || substr(h, 1, 15))::BIGINT), 0)::VARCHAR || ',' || coalesce(sum(('0x' || substr(h, 16, 15))::BIGINT), 0)::VARCHAR || ',' || coalesce(sum(('0x' || substr(h, 31, 15))::BIGINT), 0)::VARCHAR || ',' || coalesce(sum(('0x' || substr(h, 46, 15))::BIGINT), 0)::VARCHAR || ',' || count(*)) AS digest, count(*) AS rows FROM d"""))
 def dataset_digest(spark, sf):
     s = tables.calls(spark, sf).groupBy("session_id").agg(F.count(L(1)).alias("calls"), F.sum("context").alias("input"))
     return sinks.dataset_digest(s)

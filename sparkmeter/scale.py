@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .session import ensure_checkpoint_dir, prepare
@@ -63,6 +63,12 @@ def with_blocks(df: DataFrame, by: Sequence[str], order: str, min_rows: int = HO
     return out.drop("_cuts", "_all")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and every executor reach, as the session or, in local runs, a scratch folder names it."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read to the checkpoint folder, and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)

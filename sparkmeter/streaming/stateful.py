@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numbers import PRICE
@@ -55,6 +57,68 @@ def reread_guard(events: DataFrame, late: str = LATE, idle_ms: int = 24 * 3600 *
         decide, out, "seen string, denied boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+class _SessionGuard(StatefulProcessor):
+    """Reads of one session: the file's state when last read, and which reads were denied once."""
+
+    KEY, SEEN = "agent_id string, path string, read_range string", "size bigint, mtime bigint"
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.reads = handle.getMapState("reads", self.KEY, self.SEEN)
+        self.denied = handle.getMapState("denied", self.KEY, "denied boolean")
+
+    def _forget(self) -> None:
+        self.reads.clear()
+        self.denied.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        pdf = pdf.assign(_read=pdf["kind"] != "compact").sort_values(["ts", "_read"], kind="stable")  # of one instant the compaction first
+        out = []
+        for r in pdf.itertuples(index=False):
+            if r.kind == "compact":
+                self._forget()
+                continue
+            at, sig = (r.agent_id, r.path, r.read_range), (int(r.size), int(r.mtime))
+            deny = self.reads.containsKey(at) and tuple(self.reads.getValue(at)) == sig and not self.denied.containsKey(at)
+            if deny:
+                self.denied.updateValue(at, (True,))
+            else:
+                self.reads.updateValue(at, sig)
+                if self.denied.containsKey(at):
+                    self.denied.removeKey(at)
+            out.append((*key, *at, r.ts, "deny" if deny else "allow", int(r.estimate) if deny else 0))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(max(timerValues.getCurrentWatermarkInMs(), int(pdf["ts"].iloc[-1].timestamp() * 1000)) + self.idle_ms)
+        yield pd.DataFrame(out, columns=["session_id", "agent_id", "path", "read_range", "ts", "decision", "avoided"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        yield pd.DataFrame([], columns=["session_id", "agent_id", "path", "read_range", "ts", "decision", "avoided"])
+
+    def close(self) -> None:
+        pass
+
+
+def session_guard(events: DataFrame, late: str = LATE, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """Decisions about reads, with the session's compactions as events of the same stream.
+
+    events: (session_id, kind 'read' or 'compact', agent_id, path, read_range, size, mtime, ts, estimate). A read is denied
+    once if its file is unchanged since the last read of the same range; a compaction takes earlier reads out of the context,
+    so the whole session is forgotten. A session idle for `idle_ms` of event time is forgotten by its timer. Rows older than
+    the watermark never reach the state: they are allowed by not being denied. State lives in RocksDB, as this operator needs.
+    """
+    spark = events.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = "session_id string, agent_id string, path string, read_range string, ts timestamp, decision string, avoided bigint"
+    rows = events.withColumns({c: F.coalesce(c, F.lit("")) for c in ("agent_id", "path", "read_range")} | {c: F.coalesce(c, F.lit(0)) for c in ("size", "mtime", "estimate")})
+    return rows.withWatermark("ts", late).groupBy("session_id").transformWithStateInPandas(_SessionGuard(idle_ms), out, "append", "eventTime")
+
+
 def churn_alerts(calls: DataFrame, late: str = LATE, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
     """Cache re-writes as calls arrive. calls: (session_id, ts, model, context, cache_read, cache_write, rate)."""
     out = "session_id string, ts timestamp, tokens bigint, price_units double, cause string"
