@@ -3,9 +3,11 @@ returns one; ``start`` writes it out with a checkpoint folder of its own."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numbers import PRICE
 from ..functions.text import estimate_tokens
@@ -52,16 +54,44 @@ def first_usage(lines: DataFrame, late: str = LATE) -> DataFrame:
     return lines.withWatermark("ts", late).dropDuplicatesWithinWatermark(["session_id", "msg_key"])
 
 
-def metered(chunks: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Usage per streamed reply, given out when the reply has been silent past the watermark.
-    chunks: (request_id, provider, seq, data, ts)."""
-    p = parse_chunk(chunks).withWatermark("ts", late)
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
-    g = p.groupBy("request_id", F.session_window("ts", "5 minutes")).agg(
-        last("u_input").alias("i"), last("u_output").alias("o"), F.array_sort(F.collect_list(F.struct("seq", F.coalesce("said", F.lit("")).alias("t")))).alias("ts_"), F.max("is_end").alias("ended"))
-    text = F.array_join(F.transform("ts_", lambda e: e["t"]), "")
-    return g.select("request_id", F.coalesce("i", F.lit(0)).alias("input_tokens"), F.coalesce("o", estimate_tokens(text)).alias("output_tokens"),
-                    (F.col("i").isNotNull() & F.col("o").isNotNull()).alias("measured"), "ended")
+def metered(chunks: DataFrame, late: str = "10 minutes", late_ms: int = 600_000, silent_ms: int = 1_800_000) -> DataFrame:
+    """One row of usage per streamed reply, pauses included: the last report of each number, else estimates.
+
+    chunks: (request_id, provider, seq, data, ts, input_estimate), the estimate of the request's input on any chunk or none.
+    A reply is given out when the watermark is `late_ms` past its end mark, so that chunks which come out of order still
+    count, or, without an end mark, when it has been silent for `silent_ms`; only what comes after that is a row of its own.
+    """
+    if "input_estimate" not in chunks.columns:
+        chunks = chunks.withColumn("input_estimate", F.lit(None).cast("bigint"))
+    p = parse_chunk(chunks.withColumn("seq", F.col("seq").cast("bigint"))).select("request_id", "seq", "ts", "u_input", "u_output", "said", "is_end", "input_estimate").withWatermark("ts", late)
+    numbers, never = ["u_input", "u_output", "input_estimate"], -(1 << 62)
+
+    def take(k, batches, state: GroupState):
+        parts, held, ended = state.get if state.exists else ([], [None, never] * len(numbers), False)
+        if state.hasTimedOut:
+            state.remove()
+            text = "".join(t for _, t in sorted(map(tuple, parts)))
+            yield pd.DataFrame({"request_id": [k[0]], **{c: pd.array([held[2 * i]], "Int64") for i, c in enumerate(numbers)}, "said": [text], "ended": [ended]})
+            return
+        parts, held, last = list(parts), list(held), 0
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                last = max(last, int(r.ts.timestamp() * 1000))
+                ended = ended or bool(r.is_end)
+                if isinstance(r.said, str) and r.said:
+                    parts.append((int(r.seq), r.said))
+                for i, c in enumerate(numbers):
+                    v = getattr(r, c)
+                    if not pd.isna(v) and int(r.seq) >= held[2 * i + 1]:
+                        held[2 * i : 2 * i + 2] = [int(v), int(r.seq)]
+        state.update((parts, held, ended))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last) + (late_ms if ended else silent_ms))
+
+    kind = p.schema["request_id"].dataType.simpleString()
+    out = f"request_id {kind}, u_input bigint, u_output bigint, input_estimate bigint, said string, ended boolean"
+    g = p.groupBy("request_id").applyInPandasWithState(take, out, "parts array<struct<seq:bigint,t:string>>, held array<bigint>, ended boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return g.select("request_id", F.coalesce("u_input", "input_estimate", F.lit(0)).alias("input_tokens"), F.coalesce("u_output", estimate_tokens("said")).alias("output_tokens"),
+                    (F.col("u_input").isNotNull() & F.col("u_output").isNotNull()).alias("measured"), "ended")
 
 
 def priced(ledger: DataFrame, prices: DataFrame) -> DataFrame:
@@ -72,9 +102,10 @@ def priced(ledger: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def answered(requests: DataFrame, usage: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Stream-stream join of requests and usage reports by id, at most ``within`` apart.
+    """Stream-stream left join of requests and usage reports by id, at most ``within`` apart. A request without a report
+    comes out with nulls once no report can come any more.
     requests: (request_id, ts, ...), usage: (request_id, used_ts, ...)."""
     r = requests.withWatermark("ts", LATE).alias("r")
     u = usage.withWatermark("used_ts", LATE).alias("u")
     on = (F.col("r.request_id") == F.col("u.request_id")) & (F.col("used_ts") >= F.col("ts")) & (F.col("used_ts") <= F.col("ts") + F.expr(f"INTERVAL {within}"))
-    return r.join(u, on).drop(F.col("u.request_id"))
+    return r.join(u, on, "left").drop(F.col("u.request_id"))

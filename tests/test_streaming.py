@@ -127,3 +127,29 @@ def test_joins_and_metering(spark):
     m = run(spark, ls.metered(stream_of(spark, [chunks, end, end], "request_id bigint, provider string, seq int, data string, ts timestamp")))
     got = {r["request_id"]: (r["input_tokens"], r["output_tokens"], r["measured"]) for r in m.collect()}
     assert got[1] == (0, 3, False) and got[2] == (9, 4, True)
+
+
+def test_reply_with_a_pause_is_one_row_and_unknown_input_is_estimated(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2026, 1, 1)
+    sch = "request_id bigint, provider string, seq int, data string, ts timestamp, input_estimate bigint"
+    say = lambda i, seq, text, m: (i, "openai", seq, 'data: {"choices":[{"delta":{"content":"%s"}}]}' % text, t0 + timedelta(minutes=m), 100 if seq == 0 else None)
+    first = [say(1, 0, "hello wor", 0), say(2, 0, "cut ", 0), say(3, 1, "b", 0)]
+    second = [say(1, 1, "ld and", 9), (1, "openai", 2, "data: [DONE]", t0 + timedelta(minutes=9), None), say(3, 0, "a", 1)]  # nine minutes of silence
+    tick = lambda m: [(9, "openai", 0, ": keep-alive", t0 + timedelta(minutes=m), None)]
+    got = run(spark, ls.metered(stream_of(spark, [first, second, tick(60), tick(61), tick(60 * 30), tick(60 * 30 + 1)], sch)))
+    rows = {r["request_id"]: (r["input_tokens"], r["output_tokens"], r["measured"], r["ended"]) for r in got.where("request_id < 9").collect()}
+    assert got.where("request_id < 9").count() == 3
+    assert rows == {1: (100, 4, False, True), 2: (100, 1, False, False), 3: (100, 1, False, False)}
+
+
+def test_unanswered_requests_come_out_in_the_end(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2026, 1, 1)
+    late = t0 + timedelta(days=1)
+    req = stream_of(spark, [[(1, t0), (2, t0)], [(8, late)], [(9, late + timedelta(days=1))]], "request_id bigint, ts timestamp")
+    use = stream_of(spark, [[(1, t0 + timedelta(minutes=5), 7)], [(8, late, 1)], [(9, late + timedelta(days=1), 1)]], "request_id bigint, used_ts timestamp, tokens bigint")
+    got = {r["request_id"]: r["tokens"] for r in run(spark, ls.answered(req, use)).collect()}
+    assert got[1] == 7 and 2 in got and got[2] is None
