@@ -23,6 +23,7 @@ from .words import chunks, lists, longs, mix, shingles, words
 CELLS = 3
 PAIRS = ((0, 1), (0, 2), (1, 2))
 SKETCH = 32  # longs of parity bits: enough to tell long texts apart too
+NARROW = 8  # longs of the same bits folded, for a first look at many pairs
 #: A signature with more than this share of all rows is dealt over SALTS tasks.
 HOT_SHARE, SALTS, LOOK = 0.001, 64, 0.02
 #: Three longs a row: about 50 MB in memory.
@@ -83,12 +84,11 @@ def _sets(k: int, num: int, den: int, what: str):
             n = rows.num_rows
             h, owner = shingles(*words(data, at)[:2], n, k)
             about = _described(h, owner, n)
-            if what == "signatures":
-                more = [lists(*signatures(h, owner, about[2], num, den))]
+            if what == "about":
+                yield pa.RecordBatch.from_arrays([rows.column(0), *map(longs, about)], ["doc_id", *(x.split()[0] for x in _SET.split(", "))])
             else:
-                more = [lists(h, about[2])]
-            cols = [rows.column(0), *map(longs, about), *more]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(x.split()[0] for x in _SET.split(", ")), what])
+                more = lists(*signatures(h, owner, about[2], num, den)) if what == "signatures" else lists(h, about[2])
+                yield pa.RecordBatch.from_arrays([rows.column(0), *map(longs, about[:2]), more], ["doc_id", "key1", "key2", what])
 
     return run
 
@@ -98,9 +98,20 @@ def _similar(a: str, b: str, differ: Column, num: int, den: int) -> Column:
     return (den - num) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) >= (den + num) * differ
 
 
-def _could(a: str, b: str, num: int, den: int) -> Column:
+def _folded() -> list[Column]:
+    """q0, q1, ...: parity bits over NARROW longs."""
+    out = []
+    for i in range(NARROW):
+        bits = F.col(f"p{i}")
+        for j in range(i + NARROW, SKETCH, NARROW):
+            bits = bits.bitwiseXOR(F.col(f"p{j}"))
+        out.append(bits.alias(f"q{i}"))
+    return out
+
+
+def _could(a: str, b: str, num: int, den: int, bits: str = "p") -> Column:
     """Never false of a link: sets differ in at least as many features as their parity bits differ."""
-    odd = sum((F.bit_count(F.col(f"{a}.p{i}").bitwiseXOR(F.col(f"{b}.p{i}"))) for i in range(SKETCH)), F.lit(0))
+    odd = sum((F.bit_count(F.col(f"{a}.{bits}{i}").bitwiseXOR(F.col(f"{b}.{bits}{i}"))) for i in range(SKETCH if bits == "p" else NARROW)), F.lit(0))
     small, large = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
     return (small * den >= large * num) & _similar(a, b, odd, num, den)
 
@@ -120,7 +131,8 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    every = save(docs.mapInArrow(_sets(k, num, den, "signatures"), f"doc_id long, {_SET}, signatures array<long>"), "sets")
+    every = save(docs.mapInArrow(_sets(k, num, den, "about"), f"doc_id long, {_SET}"), "sets")
+    signed = lambda some: some.mapInArrow(_sets(k, num, den, "signatures"), "doc_id long, key1 long, key2 long, signatures array<long>")  # noqa: E731  made where they are exploded, never stored
     sets = every.where("n_shingles > 0")
     about = ["n_shingles", *(f"p{i}" for i in range(SKETCH))]
     nodes = sets.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in about))
@@ -133,29 +145,40 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     # one row for each node: copies beside the named one go, by a broadcast while they are few
     others = save(copies.where(~F.col("other").eqNullSafe(F.col("doc_id")) | (F.col("node") < 0)).select("key1", "key2", F.col("other").alias("doc_id")), "copies")
     few = F.broadcast(others) if others.count() <= BROADCAST_ROWS else others
-    alone = sets.join(few, (sets.doc_id.eqNullSafe(others.doc_id)) & (sets.key1 == others.key1) & (sets.key2 == others.key2), "left_anti").select(F.col("doc_id").alias("node"), "signatures")
-    odd = save(nodes.where("node < 0").select("key1", "key2", "node"), "odd_nodes").join(sets, ["key1", "key2"]).groupBy("node").agg(F.first("signatures").alias("signatures"))
-    rows = alone.union(odd).select(F.explode("signatures").alias("sig"), "node")
-
-    seen = sets.sample(LOOK, seed=1).dropDuplicates(["key1", "key2"]).select(F.explode("signatures").alias("sig"))
-    look = seen.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    total = sets.agg(F.sum(F.size("signatures"))).first()[0] or 0
-    hot = [r.sig for r in look.where(F.col("n") > max(20, HOT_SHARE * LOOK * total)).select("sig").limit(int(1 / HOT_SHARE)).collect()]
+    all_signed = signed(docs)
+    alone = all_signed.join(few, (all_signed.doc_id.eqNullSafe(others.doc_id)) & (all_signed.key1 == others.key1) & (all_signed.key2 == others.key2), "left_anti")
+    rows = alone.select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("node"))
+    odd_nodes = save(nodes.where("node < 0").select("key1", "key2", "node"), "odd_nodes")
+    if not odd_nodes.isEmpty():
+        odd = odd_nodes.join(signed(docs), ["key1", "key2"]).groupBy("node").agg(F.first("signatures").alias("signatures"))
+        rows = rows.union(odd.select(F.explode("signatures").alias("sig"), "node"))
+
+    seen = signed(docs.sample(LOOK, seed=1)).dropDuplicates(["key1", "key2"]).select(F.explode("signatures").alias("sig"))
+    look = save(seen.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "look")
+    total = look.agg(F.sum("n")).first()[0] or 0
+    hot = [r.sig for r in look.where(F.col("n") > max(20, HOT_SHARE * total)).select("sig").limit(int(1 / HOT_SHARE)).collect()]
     salt = F.when(F.col("sig").isin(hot), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
     by = Window.partitionBy("sig", "salt")
     rows = rows.withColumn("salt", salt).withColumn("hub", F.min("node").over(by)).withColumn("top", F.max("node").over(by))
     met = F.col("hub") != F.col("top")
     buckets = save(rows.where(met | F.col("sig").isin(hot) if hot else met).select("sig", "node", "hub"), "buckets")
 
+    narrow = nodes.select("node", "n_shingles", *_folded())
+
+    def looked_at(pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) that the folded bits don't rule out."""
+        x, y = narrow.alias("x"), narrow.alias("y")
+        return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_could("x", "y", num, den, "q")).select("a", "b")
+
     def check(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b), by their real sets, which are made again for these nodes only."""
+        """The links among pairs (a, b), by their parity bits and then their real sets, which are made again for these nodes only."""
         x, y = nodes.alias("x"), nodes.alias("y")
         pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_could("x", "y", num, den)).select("a", "b")
         pairs = save(pairs, "pairs")
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "key1", "key2", "doc_id")
         ends = save(ends, "ends")
         texts = docs.join(ends.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text")
-        real = texts.mapInArrow(_sets(k, num, den, "features"), f"doc_id long, {_SET}, features array<long>")
+        real = texts.mapInArrow(_sets(k, num, den, "features"), "doc_id long, key1 long, key2 long, features array<long>")
         real = save(real.join(ends.select("node", "key1", "key2"), ["key1", "key2"]).groupBy("node").agg(F.first("features").alias("f")), "features")
         x, y = real.alias("x"), real.alias("y")
         both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
@@ -168,18 +191,18 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         hubs = hubs.union(buckets.select("sig", "hub").distinct().join(heads, "sig").where("hub <> head").select("hub", "head"))
     # first each node with the hub it shares most signatures with, then the other hubs, if not in its component by then
     hubs = save(hubs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "hub_pairs")
-    links = check(hubs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")))
+    links = check(looked_at(hubs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))))
     roots = components(links)
     left, right = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     apart = hubs.join(left, "a", "left").join(right, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    links = links.union(check(apart.select("a", "b")))
+    links = links.union(check(looked_at(apart.select("a", "b"))))
     roots = components(links)
 
     placed = buckets.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("sig")
-    rest = save(placed.join(open_, "sig").join(nodes.select("node", *about), "node"), "open_buckets")
+    rest = save(placed.join(open_, "sig"), "open_buckets").join(narrow, "node")
     x, y = rest.alias("x"), rest.alias("y")
-    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _could("x", "y", num, den)
+    across = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & _could("x", "y", num, den, "q")
     more = x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(hubs.select("a", "b"), ["a", "b"], "left_anti")
     roots = components(links.union(check(more)))
 

@@ -4,23 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..scale import shared_folder
+
 _MADE: list[str] = []
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below `spark.checkpoint.dir`; local sessions without that setting get a scratch folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}/{name}"
+    """A new folder name below the checkpoint folder that the session names; local sessions without one get a scratch folder."""
+    path = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}/{name}"
     _MADE.append(path)
     return path
 
