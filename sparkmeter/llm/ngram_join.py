@@ -87,12 +87,32 @@ def _sets(k: int, num: int, den: int, what: str):
             if what == "about":
                 yield pa.RecordBatch.from_arrays([rows.column(0), *map(longs, about)], ["doc_id", *(x.split()[0] for x in _SET.split(", "))])
             else:
-                more = lists(*signatures(h, owner, about[2], num, den)) if what == "signatures" else lists(h, about[2])
+                more = lists(*signatures(h, owner, about[2], num, den)) if what == "signatures" else rows.column(1)
                 yield pa.RecordBatch.from_arrays([rows.column(0), *map(longs, about[:2]), more], ["doc_id", "key1", "key2", what])
 
     return run
 
 
+def _linked(k: int, num: int, den: int):
+    """Of (a, b, x, y) the pairs (a, b) whose texts x and y have similar sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in chunks(batches, "x"):
+            n = rows.num_rows
+            h, owner = shingles(*words(data, at)[:2], n, k)
+            parts = [shingles(*words(*other)[:2], m.num_rows, k) for m, *other in chunks(iter([rows]), "y", 1 << 62)]
+            g, of = (np.concatenate(x) for x in zip(*parts))
+            both, whose = np.concatenate([h, g]), np.concatenate([owner, of])
+            order = np.lexsort((both, whose))
+            both, whose = both[order], whose[order]
+            twice = (both[1:] == both[:-1]) & (whose[1:] == whose[:-1])
+            inter = np.bincount(whose[1:][twice], minlength=n)
+            union = np.bincount(whose, minlength=n) - inter
+            yield rows.select(["a", "b"]).filter(pa.array(den * inter >= num * union))
+
+    return run
+
+
 def _similar(a: str, b: str, differ: Column, num: int, den: int) -> Column:
     """|x & y| / |x | y| >= num / den, said of the number of features in which they differ."""
     return (den - num) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) >= (den + num) * differ
@@ -149,7 +169,8 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     alone = all_signed.join(few, (all_signed.doc_id.eqNullSafe(others.doc_id)) & (all_signed.key1 == others.key1) & (all_signed.key2 == others.key2), "left_anti")
     rows = alone.select(F.explode("signatures").alias("sig"), F.col("doc_id").alias("node"))
     odd_nodes = save(nodes.where("node < 0").select("key1", "key2", "node"), "odd_nodes")
-    if not odd_nodes.isEmpty():
+    has_odd = not odd_nodes.isEmpty()
+    if has_odd:
         odd = odd_nodes.join(signed(docs), ["key1", "key2"]).groupBy("node").agg(F.first("signatures").alias("signatures"))
         rows = rows.union(odd.select(F.explode("signatures").alias("sig"), "node"))
 
@@ -171,19 +192,20 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         return pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_could("x", "y", num, den, "q")).select("a", "b")
 
     def check(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b), by their parity bits and then their real sets, which are made again for these nodes only."""
+        """The links among pairs (a, b), by their parity bits and then their real sets, made from their texts, which take less room than the sets."""
         x, y = nodes.alias("x"), nodes.alias("y")
         pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_could("x", "y", num, den)).select("a", "b")
         pairs = save(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "key1", "key2", "doc_id")
-        ends = save(ends, "ends")
-        texts = docs.join(ends.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text")
-        real = texts.mapInArrow(_sets(k, num, den, "features"), "doc_id long, key1 long, key2 long, features array<long>")
-        real = save(real.join(ends.select("node", "key1", "key2"), ["key1", "key2"]).groupBy("node").agg(F.first("features").alias("f")), "features")
-        x, y = real.alias("x"), real.alias("y")
-        both = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-        inter = F.size(F.array_intersect("x.f", "y.f"))
-        return save(both.where(den * inter >= num * (F.size("x.f") + F.size("y.f") - inter)).select("a", "b"), "links")
+        ends = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "key1", "key2", F.col("doc_id").alias("of")), "ends")
+        fit = F.broadcast if ends.count() <= BROADCAST_ROWS else lambda x: x
+        some = docs.join(fit(ends.select("of").distinct()), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text")
+        keyed = some.mapInArrow(_sets(k, num, den, "text"), "doc_id long, key1 long, key2 long, text string")
+        texts = keyed.join(fit(ends), ["key1", "key2"]).where(F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
+        if has_odd:  # only rows without an id of their own can come more than once
+            texts = texts.groupBy("node").agg(F.first("text").alias("text"))
+        texts = save(texts, "texts")
+        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        return save(both.select("a", "b", "x", "y").mapInArrow(_linked(k, num, den), "a long, b long"), "links")
 
     hubs = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     if hot:
