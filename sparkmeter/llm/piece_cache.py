@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import numpy as np
@@ -41,10 +42,11 @@ class PieceCache:
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            found = self.encode([raw[start[i] : end[i]].decode() for i in first[new]])
-            count = np.array([len(x) for x in found], np.int64)
+            some = first[new]
+            found = self.encode([raw[i:j].decode() for i, j in zip(start[some].tolist(), end[some].tolist())])
+            count = np.fromiter(map(len, found), np.int64, len(found))
             begin = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, *(np.asarray(x, np.int32) for x in found)])
+            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(count.sum()))])
             where = np.searchsorted(self.keys, key[new])
             self.keys, self.begin, self.count = np.insert(self.keys, where, key[new]), np.insert(self.begin, where, begin), np.insert(self.count, where, count)
             at = np.searchsorted(self.keys, key)

@@ -8,6 +8,7 @@ occurs in a range, and the places where it occurs are found from the planes alon
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -20,12 +21,11 @@ from pyspark.sql import functions as F
 
 from .piece_cache import PieceCache
 from .shared import folder, save
-from .words import chunks
+from .words import CHUNK_BYTES, chunks
 
 MAGIC = b"WVMX1\0\0\0"
 END = 0
 SHARD_TOKENS = 1_000_000
-CHUNK = 4 << 20
 DOCS_A_TASK = 10_000
 _WORDS = 8  # 64-bit words between two counts
 
@@ -79,15 +79,15 @@ class WaveletMatrix:
         return out
 
     def all(self) -> np.ndarray:
-        """All ids in order: as `access` of every place, with whole planes unpacked."""
-        at, out = np.arange(self.n, dtype=np.int32), np.zeros(self.n, np.uint32)
-        for p in range(self.bits):
-            bits = np.unpackbits(self.planes[p].view(np.uint8), count=self.n, bitorder="little")
-            ones = np.cumsum(bits, dtype=np.int32)
-            to = np.where(bits == 1, np.int32(self.zeros[p] - 1) + ones, np.arange(self.n, dtype=np.int32) - ones)
-            out = out << np.uint32(1) | bits[at]
-            at = to[at]
-        return out
+        """All ids in order, as `access` of every place: from the lowest plane up, each plane's zeros and ones are put back to their places."""
+        kind = np.uint16 if self.bits <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
+        for p in reversed(range(self.bits)):
+            one = np.unpackbits(self.planes[p].view(np.uint8), count=self.n, bitorder="little").view(bool)
+            below, out = out, np.zeros(self.n, kind)
+            out[one] = below[self.zeros[p] :] | kind(1 << (self.bits - 1 - p))
+            out[~one] = below[: self.zeros[p]]
+        return out.astype(np.uint32)
 
     def _range(self, symbol: int, low: int, high: int) -> tuple[int, int]:
         if symbol >> self.bits:
@@ -143,48 +143,57 @@ def _deflated(raw: bytes) -> bytes:
     return zlib.compress(raw, 1 if len(zlib.compress(look, 1)) < 0.95 * len(look) else 0)
 
 
-_BEFORE = np.zeros(256, bool)
-_BEFORE[0x21:0x7F] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_MARK = _BEFORE & ~_LETTER
-_MARK[[0x27, *range(0x30, 0x3A)]] = False
-_AFTER = np.zeros(256, bool)
-_AFTER[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+#: What a byte is, one bit each: visible ASCII, a letter, a mark, what may follow a cut blank, the lead of two bytes, a byte within a character.
+_INK, _LETTER, _MARK, _AFTER, _LEAD, _INNER = (np.uint8(1 << i) for i in range(6))
+_IS = np.zeros(256, np.uint8)
+_IS[0x21:0x7F] |= _INK | _MARK | _AFTER
+_IS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] |= _LETTER
+_IS[[0x27, *range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] &= ~_MARK
+_IS[[*range(0xC3, 0xE0), *range(0xE4, 0xF5)]] |= _AFTER
+_IS[0xC3:0xE0] |= _LEAD
+_IS[0x80:0xC0] |= _INNER
 
 
-def safe_cuts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def safe_cuts(data: np.ndarray, at: np.ndarray, whole: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of the texts that byte-level BPE never joins, so that few different ones need encoding.
 
     Cut is before one blank between two characters that are not white space, which is told from bytes: ASCII,
     two-byte characters from U+00C0 on, and those whose first byte no white space has; before a mark after a letter
     a-z, the apostrophe left out; and around a single line end between ASCII characters. Elsewhere texts stay uncut,
-    which is always right.
+    which is always right: so around and within what `whole` matches, the names of added tokens, which the library
+    takes out of a text before all else.
     """
     cut = np.zeros(len(data) + 1, bool)
     if len(data) > 3:
-        two = (data[:-3] >= 0xC3) & (data[:-3] < 0xE0)
-        cut[2:-2] = (data[2:-1] == 0x20) & (_BEFORE[data[1:-2]] | (two & (data[1:-2] >= 0x80))) & _AFTER[data[3:]]
-        cut[1:-1] |= (_LETTER[data[:-1]] & _MARK[data[1:]]) | ((data[1:] == 0x0A) & _BEFORE[data[:-1]])
-        cut[2:-1] |= (data[1:-1] == 0x0A) & _BEFORE[data[:-2]] & _BEFORE[data[2:]]
+        has = _IS[data]
+        ink, line = (has & _INK).view(bool), data == 0x0A
+        before = ink[1:-2] | (((has[:-3] & _LEAD) != 0) & ((has[1:-2] & _INNER) != 0))
+        cut[2:-2] = (data[2:-1] == 0x20) & before & ((has[3:] & _AFTER) != 0)
+        cut[1:-1] |= (((has[:-1] & _LETTER) != 0) & ((has[1:] & _MARK) != 0)) | (line[1:] & ink[:-1])
+        cut[2:-1] |= line[1:-1] & ink[:-2] & ink[2:]
+        for m in whole.finditer(data) if whole else ():
+            cut[max(0, m.start() - 1) : m.end() + 2] = False
     cut[at] = True
     start = np.flatnonzero(cut[:-1])
     return start, np.append(start[1:], len(data))
 
 
 @functools.lru_cache(maxsize=2)
-def _cache(tokenizer: str) -> PieceCache:
+def _library(tokenizer: str) -> tuple[PieceCache, re.Pattern | None]:
+    """The library's ids by piece, and a pattern of its added tokens' names."""
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True  # the names of special tokens in a text are ordinary text
-    return PieceCache(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+    names = sorted((x.content.encode() for x in t.get_added_tokens_decoder().values() if x.content), key=len, reverse=True)
+    cache = PieceCache(lambda pieces: [e.ids for e in t.encode_batch_fast(pieces, add_special_tokens=False)])
+    return cache, re.compile(b"|".join(map(re.escape, names))) if names else None
 
 
 def encode(tokenizer: str, data: np.ndarray, at: np.ndarray, end_id: int = END) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each followed by end_id; their number by text)."""
-    start, end = safe_cuts(data, at)
-    ids, count = _cache(tokenizer).ids_of(data, start, end) if len(start) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    cache, names = _library(tokenizer)
+    start, end = safe_cuts(data, at, names)
+    ids, count = cache.ids_of(data, start, end) if len(start) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     n = len(at) - 1
     owner = np.searchsorted(at, start, "right") - 1
     by_text = np.bincount(owner, weights=count, minlength=n).astype(np.int64)
@@ -212,7 +221,7 @@ def _writer(path: str, tokenizer: str, shard_tokens: int):
                 f.write(raw)
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "tokens": [matrix.n], "docs": [len(docs)], "bytes": [len(raw)]})
 
-        for rows, data, at in chunks(batches, limit=CHUNK):
+        for rows, data, at in chunks(batches, limit=CHUNK_BYTES):
             some, count = encode(tokenizer, data, at)
             ids.append(some)
             counts.append(count)

@@ -12,7 +12,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def expected(rows):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     out, start = [], 0
     for d, text in rows:
         ids = t.encode(text or "", add_special_tokens=False).ids + [0]
@@ -21,7 +20,7 @@ def expected(rows):
     return out
 
 
-ODD = [None, "", " ", "  two  blanks ", "a b   c", "it's we'll  'tis", "x　 y 　z", "tab\t next\n\n line \n", "naïve café déjà vu", "日本語 の テスト", "\U0001f600 smile \U0001f600", "<|endoftext|> text", "a  b", "1 2  33 4.5%", "\u0085 \u0085a b", "ends with blank ", "é é"]
+ODD = [None, "", " ", "  two  blanks ", "a b   c", "it's we'll  'tis", "x　 y 　z", "tab\t next\n\n line \n", "naïve café déjà vu", "日本語 の テスト", "\U0001f600 smile \U0001f600", "<|endoftext|> text", "a <|endoftext|> b", "a<|endoftext|>b<|endoftext|>", "x\n<|endoftext|>\ny", "<|endoftext", "|>", "<|end oftext|>", "<|<|endoftext|>|> it's", "a  b", "1 2  33 4.5%", "\u0085 \u0085a b", "ends with blank ", "é é"]
 
 
 def test_files_hold_what_the_library_says(docs):
