@@ -31,6 +31,8 @@ ORDER, DECAY, POWER = 3, 0.6, 3
 LANDMARKS = 96
 #: Bounds of what training takes to the driver: words of toxic texts, words of clean texts, and hard clean words a round.
 TOXIC_WORDS, CLEAN_WORDS, HARD_WORDS, ROUNDS = 1_000, 3_000, 3_000, 2
+#: Labels to learn from, about: 12 bytes each, broadcast.
+FIT_ROWS = 500_000
 #: What the errors on clean words cost, against toxic ones, and errors against a large margin.
 CLEAN_COST, COST = 10.0, 10_000.0
 MIN_TEXTS = 3
@@ -209,7 +211,7 @@ def _group(text: Column) -> Column:
     return F.array_min(F.zip_with(raw, F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clean_words: int = CLEAN_WORDS, hard_words: int = HARD_WORDS, rounds: int = ROUNDS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clean_words: int = CLEAN_WORDS, hard_words: int = HARD_WORDS, rounds: int = ROUNDS, fit_rows: int = FIT_ROWS) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic); labels other than 0 and 1 say nothing.
 
     For each word it is counted, over all labelled texts, in how many toxic and clean ones it stands; texts with the
@@ -218,8 +220,14 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clea
     the clean ones. After a fit, the words of clean texts it finds worst, of all their words, are added and it is
     fitted again. At last the margin from which a text is toxic is set where fewest of all labelled texts err.
     Only bounded lists of words, and counts by margin, reach the driver. Without toxic texts nothing is toxic.
+    Of more than fit_rows labels, about so many are learned from, by a hash of their doc_id; being few, they go to the
+    texts, and texts are not shuffled. A label that is repeated counts once.
     """
-    rows = docs.join(labels.select(F.col("doc_id").alias("of"), "toxic").where("toxic in (0, 1)"), F.col("doc_id") == F.col("of")).select("text", F.col("toxic").cast("int").alias("toxic"))
+    told = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and of is not null")
+    told = save(told.distinct(), "labels")
+    share = fit_rows / max(fit_rows, told.count())
+    told = told.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = docs.join(F.broadcast(told), F.col("doc_id") == F.col("of")).select("text", told.toxic)
     rows = save(rows.where("text is not null"), "labelled")
     each = rows.select("toxic", "text", _word_column(F.col("text")).alias("some")).withColumn("group", _group(F.col("text")))
     groups = each.groupBy("toxic", "group").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()

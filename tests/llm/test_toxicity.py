@@ -51,6 +51,16 @@ def test_finds_insults_with_gaps_and_other_endings(spark, docs):
     assert sorted(r.doc_id for r in kept) == list(range(8, 14)) and kept[0].extra == "e"
 
 
+def test_labels_beyond_the_bound_are_left_by_hash_and_repeats_count_once(spark, docs):
+    texts = docs([(i, f"plain words number {i}" + (" you idiot" if i % 4 == 0 else "")) for i in range(400)])
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)] + [(None, 1), (0, 1)], "doc_id long, toxic int")
+    every, repeated = tx.fit(texts, labels), tx.fit(texts, labels.union(labels))
+    assert every.marks == repeated.marks and np.allclose(every.weights, repeated.weights)
+    some = tx.fit(texts, labels, fit_rows=100)
+    assert tx.fit(texts, labels.orderBy("toxic"), fit_rows=100).marks == some.marks != ()
+    assert {r.predicted for r in tx.score(docs([(1, "you idiot")]), some).collect()} == {1}
+
+
 def test_no_labels_and_empty_tables(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = tx.fit(docs([(1, "some words")]), none)
