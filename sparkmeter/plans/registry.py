@@ -35,7 +35,7 @@ def _prepared(fn):
 
 
 def load_all() -> None:
-    from . import bound_queries, call_queries, chat_queries, log_queries, record_queries, text_queries  # noqa: F401
+    from . import bound_queries, call_queries, chat_queries, log_queries, memo_queries, record_queries, text_queries  # noqa: F401
 
 
 # ---------------------------------------------------------------- shared views, DuckDB side

@@ -183,17 +183,17 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], **ops: Op) -> D
 # ---------------------------------------------------------------- exact order statistics
 
 
-def value_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """(by, value, blk, copies, before, total): each distinct value with how many rows precede it.
 
-    Rows are first combined by value on the map side, so copies of one value cost one row. Values
+    With a weight, a row stands for so many equal ones. Rows are first combined by value on the map side, so copies of one value cost one row. Values
     are ranked in blocks of equal magnitude (64 per octave, a few thousand at most per group), so
     even one global ranking is spread over tasks.
     """
     by = list(by)
     v = F.col(value).cast("double")
     magnitude = F.floor(F.signum(v) * F.log2(F.abs(v) + 1) * 64).cast("int")
-    runs = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("copies"))
+    runs = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("copies"))
     runs = runs.withColumn(BLOCK, magnitude)
     blocks = runs.groupBy(*by, BLOCK).agg(F.sum("copies").alias("_s"))
     over = Window.partitionBy(*by)  # block sums only
