@@ -3,6 +3,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparkmeter.llm import katz
@@ -13,31 +14,37 @@ def toks(text):
 
 
 class Brute:
-    def __init__(self, texts):
-        self.pairs, self.uni = collections.Counter(), collections.Counter()
+    def __init__(self, texts, order):
+        self.order, self.uni = order, collections.Counter()
+        self.after = {k: collections.defaultdict(collections.Counter) for k in range(2, order + 1)}
         for t in texts:
             w = toks(t)
             self.uni.update(w)
-            self.pairs.update(zip([katz.START] + w, w))
+            for h, x in self.grams(w):
+                for k in self.after:
+                    self.after[k][h[order - k :]][x] += 1
         self.n, self.v = sum(self.uni.values()), len(self.uni)
-        self.d = katz.discounts(collections.Counter(self.pairs.values()))
-        self.after = collections.defaultdict(dict)
-        for (h, w), r in self.pairs.items():
-            self.after[h][w] = r
+        self.d = {k: katz.discounts(collections.Counter(r for c in a.values() for r in c.values())) for k, a in self.after.items()}
+
+    def grams(self, w):
+        row = [katz.START] * (self.order - 1) + w
+        return [(tuple(row[i : i + self.order - 1]), x) for i, x in enumerate(w)]
 
     def p1(self, w):
         return (self.uni.get(w, 0) + 0.1) / (self.n + 0.1 * (self.v + 1))
 
     def p(self, h, w):
-        seen = self.after.get(h)
-        if not seen:
+        if not h:
             return self.p1(w)
+        seen = self.after[len(h) + 1].get(h)
+        if not seen:
+            return self.p(h[1:], w)
         c = sum(seen.values())
-        kept = {x: self.d.get(r, 1.0) * r for x, r in seen.items()}
+        kept = {x: self.d[len(h) + 1].get(r, 1.0) * r for x, r in seen.items()}
         s = c / (c + 1) if sum(kept.values()) > c - 1e-9 else 1.0
         if w in seen:
             return s * kept[w] / c
-        return (1 - s * sum(kept.values()) / c) / (1 - sum(self.p1(x) for x in seen)) * self.p1(w)
+        return (1 - s * sum(kept.values()) / c) / (1 - sum(self.p(h[1:], x) for x in seen)) * self.p(h[1:], w)
 
 
 def rows(seed, n=120):
@@ -47,24 +54,31 @@ def rows(seed, n=120):
     return out + [(n, None), (n + 1, ""), (n + 2, "A b\x0bC\n\nnew words only"), (None, "a b"), (None, "a b"), (5, "a b"), (5, "a b")]
 
 
-def test_scores_equal_brute_force_and_sum_to_one(docs):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_equal_brute_force_and_sum_to_one(docs, order):
     some = rows(1)
-    df = docs(some, w=1, h="x", key=2)
+    df = docs(some, w=1, h="x", key=2, so_far="y")
     held = katz.held_out(F.col("doc_id"))
     flags = {r.doc_id: r.x for r in df.select("doc_id", held.alias("x")).collect()}
-    model = katz.train(df.where(~held))
-    brute = Brute([t for d, t in some if not flags[d]])
-    assert (model.tokens, model.types) == (brute.n, brute.v)
+    model = katz.train(df.where(~held), order)
+    brute = Brute([t for d, t in some if not flags[d]], order)
+    assert (model.order, model.tokens, model.types) == (order, brute.n, brute.v)
     got = sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in katz.score(df, model, ~held).collect()), key=repr)
     want = []
     for d, t in some:
         w = toks(t)
-        want.append((d, len(w), sum(x in brute.uni for x in w), round(sum(math.log10(brute.p1(x)) for x in w), 6), round(sum(math.log10(brute.p(h, x)) for h, x in zip([katz.START] + w, w)), 6)))
+        want.append((d, len(w), sum(x in brute.uni for x in w), round(sum(math.log10(brute.p1(x)) for x in w), 6), round(sum(math.log10(brute.p(h, x)) for h, x in brute.grams(w)), 6)))
     assert sum(flags.values()) > 3 and got == sorted(want, key=repr)
-    for h in [katz.START, "a", "new", *brute.after]:
+    for h in [("new",) * (order - 1), *brute.after[order]][:300]:
         assert abs(sum(brute.p(h, w) for w in brute.uni) + brute.p(h, "never seen") - 1) < 1e-9
 
 
+def test_one_very_long_text(docs):
+    model = katz.train(docs([(1, "a b c " * 200_000)]))
+    got = katz.score(docs([(2, "a b c " * 100_000)]), model).first()
+    assert got.n_tokens == got.n_known == 300_001 and got.base_score < got.score < 0
+
+
 def test_empty_training_and_empty_tables(docs):
     model = katz.train(docs([]))
     got = katz.score(docs([(1, "a b"), (2, None)]), model).collect()
