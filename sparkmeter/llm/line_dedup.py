@@ -17,6 +17,14 @@ def _line_key(line: Column) -> Column:
     return F.when(line != "", F.md5(line))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, pages, line_key, with_line) of lines on more than `ratio` of their host's pages and on `min_pages` at least.
 
@@ -31,7 +39,7 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """`docs` with those lines gone from the text, and line counts `_lines` and `_dropped` beside it.
+    """`docs` with those lines gone from the text, and line counts `_lines` and `_dropped` beside it, in place of columns so named.
 
     Null texts stay null with 0 lines; an empty text is one blank line; a text of which nothing is left is ''.
     Order and repeats of the other lines, and blank lines, stay. A host has at most (mean distinct lines of a
@@ -39,11 +47,12 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     the written table is below Spark's size limit, else skewed hosts are split.
     """
     found = boilerplate(docs, host, text, ratio, min_pages)
-    lists = save(found.groupBy("host").agg(F.sort_array(F.collect_list("line_key")).alias("_drop")).withColumnRenamed("host", "_host"), "boilerplate")
-    rows = docs.join(lists, F.col(host).eqNullSafe(F.col("_host")), "left").drop("_host")
+    of, drop, now = (_free(docs, n) for n in ("_host", "_drop", "_kept"))
+    lists = save(found.groupBy("host").agg(F.sort_array(F.collect_list("line_key")).alias(drop)).withColumnRenamed("host", of), "boilerplate")
+    rows = docs.join(lists, F.col(host).eqNullSafe(F.col(of)), "left").drop(of)
     lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", _line_key(x)), F.lit(False)))
-    rows = rows.withColumn("_kept", F.when(F.col("_drop").isNull(), lines).otherwise(kept))
-    rows = rows.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("_dropped", F.col("_lines") - F.coalesce(F.size("_kept"), F.lit(0)))
-    rows = rows.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join("_kept", "\n")))
-    return rows.drop("_kept", "_drop")
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(drop, _line_key(x)), F.lit(False)))
+    rows = rows.withColumn(now, F.when(F.col(drop).isNull(), lines).otherwise(kept))
+    rows = rows.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("_dropped", F.col("_lines") - F.coalesce(F.size(now), F.lit(0)))
+    rows = rows.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(now, "\n")))
+    return rows.drop(now, drop)
