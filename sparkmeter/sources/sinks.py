@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.digests import multiset_digest
+from ..functions.digests import sorted_digest
 from ..scale import materialize
 
 
@@ -16,8 +16,8 @@ def write_dataset(measures: DataFrame, path: str, subject: str) -> None:
 
 def dataset_digest(rows: DataFrame) -> DataFrame:
     """One digest of a table's content, whatever its order or partitioning: rows as JSON with columns in name order."""
-    r = rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("j"))
-    return r.agg(multiset_digest(F.col("j")).alias("digest"), F.count(F.lit(1)).alias("rows"))
+    h = F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256)
+    return sorted_digest(rows, h, h, "rows")
 
 
 def write_statements(statements: DataFrame, path: str, order: list[str]) -> None:

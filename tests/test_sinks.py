@@ -1,6 +1,8 @@
 """Sinks that may be written again, digests of multisets, names in SQL, and the guard that sees compactions."""
 
+import hashlib
 import tempfile
+from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkmeter.functions.numbers import footprint
 from sparkmeter.functions.register import register_functions
-from sparkmeter.operators import labels
+from sparkmeter.operators import labels, policy
 from sparkmeter.sources import chats, sinks
 from sparkmeter.streaming import stateful as st
 from test_streaming import LEDGER, led, run, stream_of
@@ -23,6 +25,22 @@ def test_digest_is_of_the_multiset(spark):
     assert sinks.dataset_digest(df.where("false")).first().rows == 0
 
 
+def test_digests_hash_every_line_in_sorted_order(spark):
+    """Sums of row hashes would tell the same rows, but not withstand rows made to add up alike."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+
+    def whole(lines, prefix):
+        parts = defaultdict(list)
+        for line in sorted(lines):
+            parts[prefix(line)[:4]].append(line)
+        return sha("\n".join(sorted(sha("\n".join(p)) for p in parts.values())))
+
+    n = 150_000  # several lines to a prefix
+    ids = spark.range(n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("fingerprint"))
+    assert policy.manifest_digest(ids).first() == (whole([f"c{i}" for i in range(n)], sha), n)
+    assert sinks.dataset_digest(spark.range(n)).first() == (whole([sha('{"id":%d}' % i) for i in range(n)], str), n)
+
+
 def test_ledger_batches_written_again_change_nothing(spark, tmp_path):
     path = str(tmp_path / "ledger")
     a, b = [led("2026-01-01 10:00:00"), led("2026-01-02 10:00:00")], [led("2026-01-01 10:00:00", n=7)]
