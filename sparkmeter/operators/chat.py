@@ -13,13 +13,14 @@ from .. import scale
 from ..functions import intent as it
 from ..functions import text as tx
 from ..functions.numbers import compute_units, energy_wh, percent
+from . import alike
 
 AGENDA_SIZE = 7
 USER_TOPICS, REPLY_TOPICS = 5, 3
 TOP_KEYWORDS = 40
 REPLY_CUES = 8
 RETRY_SIMHASH_BITS = 6  # similarity 0.9 of 64 bits
-RETRY_JACCARD = 0.8
+RETRY_JACCARD = 4, 5
 TURN = ["conv_id", "idx"]
 
 
@@ -98,48 +99,26 @@ def retries(features: DataFrame, use_simhash: bool = True) -> DataFrame:
     """(conv_id, idx, retry_of): the latest earlier prompt of the conversation that is nearly the same.
 
     Prompts are first collapsed to classes of equal word set (and fingerprint), so copies cost nothing.
-    Similar classes are found by filters with no false negatives: equal rare-word prefixes for Jaccard
-    >= 0.8, one of seven equal bit bands for at most six differing bits; then verified. The latest
-    earlier member is an as-of lookup along the turn order.
+    Pairs of similar classes come from signatures with no false negatives. The latest earlier member is an
+    as-of lookup along the turn order.
     """
     keep = [scale.BLOCK] if scale.BLOCK in features.columns else []
-    u = features.where("role = 'user'").select(*keep, *TURN, "wset", *(["fp"] if use_simhash else []))
-    ident = F.xxhash64("wset", *(["fp"] if use_simhash else []))
-    u = scale.materialize(u.withColumn("cls", ident))  # read by every candidate filter below
-    c = u.groupBy("conv_id", "cls").agg(F.first("wset").alias("wset"), *([F.first("fp").alias("fp")] if use_simhash else []))
-    c = c.withColumn("m", F.size("wset"))
-    # Jaccard candidates
-    words = c.where("m > 0").select("conv_id", "cls", "m", F.explode("wset").alias("word"))
-    rarity = words.groupBy("conv_id", "word").agg(F.count(F.lit(1)).alias("df"))
-    w = Window.partitionBy("conv_id", "cls").orderBy("df", "word")
-    prefix = words.join(rarity, ["conv_id", "word"]).withColumn("_r", F.row_number().over(w))
-    prefix = prefix.where(F.col("_r") <= F.col("m") - F.ceil(RETRY_JACCARD * F.col("m") - 1e-9) + 1).select("conv_id", "cls", "m", "word")
-    other = prefix.select("conv_id", "word", F.col("cls").alias("cls2"), F.col("m").alias("m2"))
-    cand = prefix.join(other, ["conv_id", "word"]).where(
-        (F.col("cls") != F.col("cls2")) & (F.col("m2") >= RETRY_JACCARD * F.col("m")) & (F.col("m") >= RETRY_JACCARD * F.col("m2")))
-    cand = cand.select("conv_id", "cls", "cls2")
+    fp = ["fp"] if use_simhash else []
+    u = features.where("role = 'user'").select(
+        *keep, *TURN, *fp, F.xxhash64("conv_id").alias("group"), F.xxhash64("conv_id", "wset", *fp).alias("cls"),
+        F.transform("wset", lambda w: F.xxhash64(w)).alias("words"))
+    u = scale.materialize(u)  # read for signatures, for words to compare, and by the lookup
+    pairs = alike.pairs_by_words(u.select("group", F.col("cls").alias("node"), "words"), *RETRY_JACCARD)
     if use_simhash:
-        bands = [(0, 10)] + [(10 + 9 * i, 9) for i in range(6)]
-        parts = F.array(*[F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << n) - 1)).alias("bits"))
-                          for i, (at, n) in enumerate(bands)])
-        b = c.where("fp <> 0").select("conv_id", "cls", "fp", F.inline(parts))
-        b2 = b.select("conv_id", "band", "bits", F.col("cls").alias("cls2"), F.col("fp").alias("fp2"))
-        near = b.join(b2, ["conv_id", "band", "bits"]).where(
-            (F.col("cls") != F.col("cls2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= RETRY_SIMHASH_BITS))
-        cand = cand.unionByName(near.select("conv_id", "cls", "cls2"))
-    cand = cand.distinct()
-    info = c.select("conv_id", "cls", "wset", *(["fp"] if use_simhash else []))
-    right = info.select(F.col("conv_id"), F.col("cls").alias("cls2"), F.col("wset").alias("wset2"), *([F.col("fp").alias("fp2")] if use_simhash else []))
-    pairs = cand.join(info, ["conv_id", "cls"]).join(right, ["conv_id", "cls2"])
-    same = tx.jaccard("wset", "wset2") >= RETRY_JACCARD
-    if use_simhash:
-        same = same | (tx.simhash_similarity("fp", "fp2") >= 0.9)
-    pairs = pairs.where(same).select("conv_id", "cls", "cls2")
-    own = c.where("m > 0").select("conv_id", "cls", F.col("cls").alias("cls2"))
-    pairs = pairs.unionByName(own)
-    askers = u.where(F.size("wset") >= 3).join(pairs, ["conv_id", "cls"]).select(*keep, *TURN, "cls2", F.lit(False).alias("member"))
+        prints = u.select("group", F.col("cls").alias("node"), "fp").distinct()
+        pairs = pairs.unionByName(alike.pairs_by_bits(prints, RETRY_SIMHASH_BITS)).distinct()
+    pairs = scale.materialize(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("cls2")), F.struct(F.col("b").alias("cls"), F.col("a").alias("cls2"))))))
+    askers = u.where(F.size("words") >= 3)
+    # a class that is alone needs only its own prompts in order
+    own = askers.select(*keep, *TURN, F.col("cls").alias("cls2"), F.lit(False).alias("member"))
+    other = askers.join(pairs, "cls").select(*keep, *TURN, "cls2", F.lit(False).alias("member"))
     members = u.select(*keep, *TURN, F.col("cls").alias("cls2"), F.lit(True).alias("member"))
-    line = scale.scan(askers.unionByName(members), ["conv_id", "cls2"], ["idx", "member"],
+    line = scale.scan(own.unionByName(other).unionByName(members), ["conv_id", "cls2"], ["idx", "member"],
                       j=scale.last_known(F.when(F.col("member"), F.col("idx")), inclusive=False))
     return line.where("NOT member AND j IS NOT NULL").groupBy(*TURN).agg(F.max("j").alias("retry_of"))
 
