@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkmeter import scale
+from sparkmeter.functions import text
 from sparkmeter.operators import alike, chat
 
 
@@ -67,3 +69,29 @@ def test_prompts_of_common_words_are_not_all_compared(spark, monkeypatch):
     widest = max(s.count() for s in stored if {"a", "b"} <= set(s.columns))
     assert widest < 20_000  # of 180,300 pairs
     assert all(f.dataType.simpleString() != "array<string>" for s in stored for f in s.schema)
+
+
+def test_fingerprints_hold_few_words_at_once(monkeypatch):
+    """The same by any slice, equal to sums over the grams' bits; a batch is never held whole as Python strings."""
+    rng = random.Random(8)
+    names = ["a", "bb", "é漢", "x" * 300, *(f"w{i}" for i in range(60))]
+    words = [rng.choices(names, k=rng.choice([0, 1, 2, 40])) if rng.random() > 0.1 else None for _ in range(60)]
+    other = [rng.choices(names, k=3) if rng.random() > 0.1 else None for _ in range(60)]
+
+    def fnv(data, h):
+        for x in data:
+            h = ((h ^ x) * text.FNV_PRIME) & 0xFFFFFFFF
+        return h
+
+    def one(feats):
+        grams = [g.encode() for g in [*feats, *(f"{a} {b}" for a, b in zip(feats, feats[1:]))]]
+        h = [fnv(b"k" + g, text.FNV_BASIS_HIGH) << 32 | fnv(b"k" + g, text.FNV_BASIS_LOW) for g in grams]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    kind, sizes, inner = pa.list_(pa.string()), [], text._fingerprints
+    monkeypatch.setattr(text, "_fingerprints", lambda w, f, salt: sizes.append(len(w)) or inner(w, f, salt))
+    want = [one(w or f or []) for w, f in zip(words, other)]
+    for at_once in (1, 50, 10**6):
+        monkeypatch.setattr(text, "WORDS_AT_ONCE", at_once)
+        assert [x % 2**64 for x in text.fingerprint_rows(pa.array(words, kind), pa.array(other, kind), b"k").tolist()] == want
+        assert max(sizes) < 60 or at_once == 10**6
