@@ -12,12 +12,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .. import scale
 from ..llm.ngram_join import signatures
+from ..llm.shared import save
 from ..llm.words import longs, mix
 
-SKETCH = 8  # longs of parity bits
+SKETCH, FOLDED = 8, 2  # longs of parity bits, and of the same folded for a first look
 WORDS_AT_ONCE = 500_000
+TILE = 128  # members of a family that meet in one task, about
 BLOCKS = 8  # of a fingerprint's 64 bits; two of them are equal if at most six bits differ
 
 
@@ -63,7 +64,7 @@ def pairs_by_words(sets: DataFrame, num: int, den: int) -> DataFrame:
     sets = sets.where("size(words) > 0").select("group", "node", "words")
     rows = sets.mapInArrow(_signed(num, den), "sig long, node long").repartition("sig").distinct()
     about = sets.select("node", "words").mapInArrow(_sketched, "node long, m long, " + ", ".join(f"p{i} long" for i in range(SKETCH)))
-    about = scale.materialize(about.dropDuplicates(["node"]))
+    about = save(about.dropDuplicates(["node"]), "sketches")
 
     def could(odd: Column) -> Column:
         """Never false of a similar pair: sets differ in at least as many words as their parity bits differ."""
@@ -71,18 +72,41 @@ def pairs_by_words(sets: DataFrame, num: int, den: int) -> DataFrame:
         return (small * den >= large * num) & ((den - num) * (small + large) >= (den + num) * odd)
 
     differ = lambda c: F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")))
-    folded = functools.reduce(Column.bitwiseXOR, [F.col(f"p{i}") for i in range(SKETCH)])
-    met = scale.materialize(in_company(rows).join(about.select("node", "m", folded.alias("q")), "node"))  # one long tells most small sets apart
-    cand = met.alias("x").join(met.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & could(differ("q")))
-    cand = scale.materialize(cand.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    half = SKETCH // FOLDED
+    folded = [functools.reduce(Column.bitwiseXOR, [F.col(f"p{i + j * FOLDED}") for j in range(half)]).alias(f"q{i}") for i in range(FOLDED)]
+    met = save(in_company(rows), "met").join(about.select("node", F.col("m").cast("int").alias("m"), *folded), "node")  # a few bits tell most sets apart
+    cand = met.alias("x").join(met.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & could(sum((differ(f"q{i}") for i in range(FOLDED)), F.lit(0))))
+    cand = save(cand.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "met_pairs")
     x, y = about.alias("x"), about.alias("y")
     cand = cand.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-    cand = scale.materialize(cand.where(could(sum((differ(f"p{i}") for i in range(SKETCH)), F.lit(0)))).select("a", "b"))
-    ends = cand.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    words = scale.materialize(sets.select("node", "words").join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    both = cand.join(words.select(F.col("node").alias("a"), F.col("words").alias("v")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("w")), "b")
-    common = F.size(F.array_intersect("v", "w"))
-    return both.where(den * common >= num * (F.size("v") + F.size("w") - common)).select("a", "b")
+    cand = save(cand.where(could(sum((differ(f"p{i}") for i in range(SKETCH)), F.lit(0)))).select("a", "b"), "looked_at")
+    # copies of copies are pairs of the same few sets: a family's sets go to a task once, or once for each tile of a large family
+    first = cand.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("_f"))
+    tiled = cand.join(first, "a", "left").withColumn("family", F.coalesce("_f", "a"))
+    parts = tiled.groupBy("family").agg(F.ceil(F.approx_count_distinct("b") / TILE).cast("int").alias("n"))
+    cut = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
+    tiled = save(tiled.join(parts, "family").select(F.xxhash64("family", F.least(cut("a"), cut("b")), F.greatest(cut("a"), cut("b"))).alias("tile"), "a", "b"), "tiled")
+    held = tiled.select("tile", F.explode(F.array("a", "b")).alias("node")).distinct()
+    words = sets.select("node", "words").join(held.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    words = held.join(words, "node").select(F.col("tile").alias("place"), "node", "words")
+    return tiled.groupBy("tile").cogroup(words.groupBy("place")).applyInArrow(_verified(num, den), "a long, b long")
+
+
+def _verified(num: int, den: int):
+    """The similar ones of a tile's pairs, by its word sets."""
+
+    def run(pairs: pa.Table, words: pa.Table) -> pa.Table:
+        held = {n: i for i, n in enumerate(words.column("node").to_pylist())}
+        lists = words.column("words").combine_chunks()
+        sets = [np.sort(lists[i].values.to_numpy(zero_copy_only=False)) for i in range(len(held))]
+        similar = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+            v, w = sets[held[a]], sets[held[b]]
+            common = len(np.intersect1d(v, w, assume_unique=True))
+            similar.append(den * common >= num * (len(v) + len(w) - common))
+        return pairs.select(["a", "b"]).filter(pa.array(similar, pa.bool_()))
+
+    return run
 
 
 def in_company(rows: DataFrame) -> DataFrame:

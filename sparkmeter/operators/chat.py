@@ -13,6 +13,7 @@ from .. import scale
 from ..functions import intent as it
 from ..functions import text as tx
 from ..functions.numbers import compute_units, energy_wh, percent
+from ..llm.shared import save
 from . import alike
 
 AGENDA_SIZE = 7
@@ -107,12 +108,12 @@ def retries(features: DataFrame, use_simhash: bool = True) -> DataFrame:
     u = features.where("role = 'user'").select(
         *keep, *TURN, *fp, F.xxhash64("conv_id").alias("group"), F.xxhash64("conv_id", "wset", *fp).alias("cls"),
         F.transform("wset", lambda w: F.xxhash64(w)).alias("words"))
-    u = scale.materialize(u)  # read for signatures, for words to compare, and by the lookup
+    u = save(u, "prompts")  # read for signatures, for words to compare, and by the lookup; a compressed file takes less room than a checkpoint
     pairs = alike.pairs_by_words(u.select("group", F.col("cls").alias("node"), "words"), *RETRY_JACCARD)
     if use_simhash:
         prints = u.select("group", F.col("cls").alias("node"), "fp").distinct()
         pairs = pairs.unionByName(alike.pairs_by_bits(prints, RETRY_SIMHASH_BITS)).distinct()
-    pairs = scale.materialize(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("cls2")), F.struct(F.col("b").alias("cls"), F.col("a").alias("cls2"))))))
+    pairs = save(pairs.select(F.inline(F.array(F.struct(F.col("a").alias("cls"), F.col("b").alias("cls2")), F.struct(F.col("b").alias("cls"), F.col("a").alias("cls2"))))), "similar")
     askers = u.where(F.size("words") >= 3)
     # a class that is alone needs only its own prompts in order
     own = askers.select(*keep, *TURN, F.col("cls").alias("cls2"), F.lit(False).alias("member"))

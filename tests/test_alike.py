@@ -5,7 +5,6 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sparkmeter import scale
 from sparkmeter.functions import text
 from sparkmeter.operators import alike, chat
 
@@ -57,13 +56,13 @@ def test_prompts_of_common_words_are_not_all_compared(spark, monkeypatch):
     texts = [" ".join(rng.sample(vocabulary, 100)) for _ in range(600)]
     texts.append(" ".join(texts[17].split()[:95]))
     df = spark.createDataFrame([("c", i, "user", x) for i, x in enumerate(texts)], "conv_id string, idx long, role string, text string")
-    stored, save = [], scale.materialize
+    stored, save = [], alike.save
 
-    def watched(rows):
-        stored.append(save(rows))
+    def watched(rows, name):
+        stored.append(save(rows, name))
         return stored[-1]
 
-    monkeypatch.setattr(scale, "materialize", watched)
+    monkeypatch.setattr(alike, "save", watched)
     got = chat.retries(chat.turn_words(df), use_simhash=False).collect()
     assert [(r.idx, r.retry_of) for r in got] == [(600, 17)]
     widest = max(s.count() for s in stored if {"a", "b"} <= set(s.columns))
@@ -95,3 +94,18 @@ def test_fingerprints_hold_few_words_at_once(monkeypatch):
         monkeypatch.setattr(text, "WORDS_AT_ONCE", at_once)
         assert [x % 2**64 for x in text.fingerprint_rows(pa.array(words, kind), pa.array(other, kind), b"k").tolist()] == want
         assert max(sizes) < 60 or at_once == 10**6
+
+
+def test_word_sets_of_a_family_are_held_by_tile_not_by_pair(spark, monkeypatch):
+    """60 near copies of 200 words are 1,770 pairs; their sets go once to a task, or once to each tile."""
+    rng = random.Random(9)
+    base = [rng.randrange(1 << 40) for _ in range(200)]
+    sets = [_changed(rng, base, 4) for _ in range(60)]
+    df = spark.createDataFrame([(1, i, w) for i, w in enumerate(sets)], "group long, node long, words array<long>")
+    for tile in (128, 20):
+        monkeypatch.setattr(alike, "TILE", tile)
+        tables = {}
+        monkeypatch.setattr(alike, "save", lambda rows, name, into=tables: into.setdefault(name, rows.localCheckpoint()))
+        assert alike.pairs_by_words(df, 4, 5).count() == 1_770
+        held = tables["tiled"].select("tile", F.explode(F.array("a", "b")).alias("node")).distinct().count()
+        assert held == 60 if tile == 128 else held < 60 * 6
