@@ -21,6 +21,9 @@ def _json(**fields):
     return F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
+LINES_PER_EVENT = 3  # raw_lines makes about so many
+
+
 def raw_lines(spark, sf):
     """Each event as the lines a coding agent would have written for it."""
     c = tables.calls(spark, sf)
@@ -48,8 +51,17 @@ def raw_lines(spark, sf):
     return c.select("session_id", "at", L(0).cast("bigint").alias("rank"), (F.col("event_id") * 10 + F.col("p")).alias("pos"), "value")
 
 
+def index(spark, sf, raw, audit_mode=False):
+    return al.index_lines(al.parse_lines(raw), audit_mode, LINES_PER_EVENT * tables.events(spark, sf))
+
+
 def indexed(spark, sf, audit_mode=False):
-    return al.index_lines(al.parse_lines(raw_lines(spark, sf)), audit_mode)
+    return index(spark, sf, raw_lines(spark, sf), audit_mode)
+
+
+def index_table(spark, sf, audit_mode=False):
+    """The same, written once for queries that read it more than once."""
+    return scale.stored(indexed(spark, sf, audit_mode), "index")
 
 
 @query("log_calls", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, k, epoch, instr, context, CAST(cache_write_1h AS BIGINT) AS cache_write_1h, output, model FROM calls WHERE context > 0"))
@@ -59,7 +71,7 @@ def log_calls(spark, sf):
 
 @query("log_tool_uses", with_views(CALLS, """SELECT session_id::VARCHAR AS session_id, 't' || event_id AS use_id, name, k, has_result, is_error, CASE WHEN has_result THEN CAST(ceil((length('result_' || result_hash) + 3) / 4.0) AS BIGINT) ELSE 0 END AS result_tokens FROM tools"""))
 def log_tool_uses(spark, sf):
-    return al.tool_uses(indexed(spark, sf)).select("session_id", "use_id", "name", "k", "has_result", "is_error", "result_tokens")
+    return al.tool_uses(index_table(spark, sf)).select("session_id", "use_id", "name", "k", "has_result", "is_error", "result_tokens")
 
 
 @query("log_compactions", with_views(CALLS, "SELECT DISTINCT session_id::VARCHAR AS session_id, k AS at_call FROM calls WHERE is_compact = 1"))
@@ -75,7 +87,7 @@ def log_instructions(spark, sf):
 @query("log_snapshot", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, CAST(count(*) AS BIGINT) AS calls, CAST(sum(context) AS BIGINT) AS input FROM calls WHERE k < 20 AND instr <= 4 GROUP BY 1"))
 def log_snapshot(spark, sf):
     """The first four instructions, at most twenty calls."""
-    ix = indexed(spark, sf)
+    ix = index_table(spark, sf)
     limits = ix.select("session_id").distinct().select("session_id", L(4).alias("max_instr"), L(20).alias("max_calls"))
     return al.calls(al.snapshot(ix, limits)).groupBy("session_id").agg(F.count(L(1)).alias("calls"), F.sum("context").alias("input"))
 
@@ -94,13 +106,13 @@ def log_segment_births(spark, sf):
 
 @query("log_written_tokens", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, CAST(sum(ceil(length('body_of_' || substr(path, 4)) / 4.0)) AS BIGINT) AS written_tokens FROM tools WHERE name = 'Write' GROUP BY 1"))
 def log_written_tokens(spark, sf):
-    return al.written_tokens(al.tool_uses(indexed(spark, sf)))
+    return al.written_tokens(al.tool_uses(index_table(spark, sf)))
 
 
 @query("log_duplicate_results", with_views(CALLS, """SELECT session_id::VARCHAR AS session_id, use_id, category FROM (SELECT session_id, 't' || event_id AS use_id, CASE WHEN lag(result_hash) OVER w = result_hash AND lag(epoch) OVER w = epoch THEN 'W1' WHEN is_error THEN 'W2' END AS category
   FROM tools WHERE has_result WINDOW w AS (PARTITION BY session_id, name, regexp_extract(input_sig, '([0-9]+)', 1) ORDER BY k)) WHERE category IS NOT NULL"""))
 def log_duplicate_results(spark, sf):
-    return floor.judged_results(al.tool_uses(indexed(spark, sf))).where("category IS NOT NULL").select("session_id", "use_id", "category")
+    return floor.judged_results(al.tool_uses(index_table(spark, sf))).where("category IS NOT NULL").select("session_id", "use_id", "category")
 
 
 @query("log_failures_with_orphans", with_views(CALLS, """SELECT session_id::VARCHAR AS session_id, category, count(*) AS n, CAST(sum(orphan) AS BIGINT) AS orphans FROM (
@@ -114,14 +126,14 @@ def log_failures_with_orphans(spark, sf):
     block = F.struct(L("tool_result").alias("type"), F.when(F.col("event_id") % 3 != 0, F.concat(L("gone"), F.col("event_id").cast("string"))).alias("tool_use_id"), (F.col("event_id") % 46 == 0).alias("is_error"), L("lost").alias("content"))
     line = _json(type=L("user"), sessionId=sid, timestamp=iso, message=F.struct(L("user").alias("role"), F.array(block).alias("content")))
     more = c.select(sid.alias("session_id"), F.unix_micros("ts").alias("at"), L(0).cast("bigint").alias("rank"), (F.col("event_id") * 10 - 1).alias("pos"), line.alias("value"))
-    ix = al.index_lines(al.parse_lines(raw_lines(spark, sf).unionByName(more)))
+    ix = scale.stored(index(spark, sf, raw_lines(spark, sf).unionByName(more)), "index")
     judged = floor.judged_results(al.tool_uses(ix), orphans=al.orphan_results(ix)).where("category IS NOT NULL")
     return judged.groupBy("session_id", "category").agg(F.count(L(1)).alias("n"), F.sum(F.col("name").isNull().cast("bigint")).alias("orphans"))
 
 
 @query("log_audit", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, CAST(count(*) AS BIGINT) AS api_calls, CAST(sum(context) AS BIGINT) AS processed_input, max(context) AS peak_context FROM calls GROUP BY 1"))
 def log_audit(spark, sf):
-    ix = indexed(spark, sf, audit_mode=True)
+    ix = index_table(spark, sf, audit_mode=True)
     return audit.audit(al.calls(ix), al.tool_uses(ix)).select("session_id", "api_calls", "processed_input", "peak_context")
 
 
@@ -141,8 +153,8 @@ def with_side_lines(spark, sf):
     return raw_lines(spark, sf).unionByName(more)
 
 
-def side_indexed(spark, sf, audit_mode=False):
-    return al.index_lines(al.parse_lines(with_side_lines(spark, sf)), audit_mode)
+def side_index_table(spark, sf, audit_mode=False):
+    return scale.stored(index(spark, sf, with_side_lines(spark, sf), audit_mode), "index")
 
 
 SIDE = f"""{CALLS},
@@ -153,18 +165,18 @@ marked AS (SELECT *, CASE WHEN is_compact = 1 OR event_id % 70 = 35 THEN 1 ELSE
   CAST(sum(cut) AS BIGINT) AS compactions, CAST(sum((event_id % 7 = 0)::INT) AS BIGINT) AS subagent_calls FROM marked GROUP BY 1"""))
 def log_audit_with_subagents(spark, sf):
     """Sub-agent calls stay apart, and summaries without a boundary count as compactions."""
-    ix = side_indexed(spark, sf, audit_mode=True)
+    ix = side_index_table(spark, sf, audit_mode=True)
     return audit.audit(al.calls(ix), al.tool_uses(ix)).select("session_id", "api_calls", "processed_input", "peak_context", "compactions", "subagent_calls")
 
 
 @query("log_instructions_with_subagents", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, instr, CAST(count(*) AS BIGINT) AS calls, CAST(sum(context) AS BIGINT) AS input FROM calls WHERE instr >= 1 GROUP BY 1, 2"))
 def log_instructions_with_subagents(spark, sf):
-    return survey.per_instruction(al.calls(side_indexed(spark, sf)))
+    return survey.per_instruction(al.calls(side_index_table(spark, sf)))
 
 
 @query("log_measures_with_subagents", with_views(CALLS, """SELECT session_id::VARCHAR AS session_id, CAST(count(*) AS BIGINT) AS api_calls, CAST(sum(context) AS BIGINT) AS input_processed, max(context) AS peak_context, CAST(sum(cache_read) AS BIGINT) AS cache_read FROM calls GROUP BY 1"""))
 def log_measures_with_subagents(spark, sf):
-    ix = side_indexed(spark, sf)
+    ix = side_index_table(spark, sf)
     return survey.measure(al.calls(ix), al.tool_uses(ix), al.instructions(ix)).select("session_id", "api_calls", "input_processed", "peak_context", "cache_read")
 
 
@@ -172,7 +184,7 @@ def log_measures_with_subagents(spark, sf):
 def log_steps_on_waste(spark, sf):
     """No step here is without text, so each response is checked and none qualifies once text counts; the
     text flag is dropped to list the candidates."""
-    ix = indexed(spark, sf)
+    ix = index_table(spark, sf)
     uses = al.tool_uses(ix).withColumn("has_text", L(False))
     return floor.wasted_steps(floor.judged_results(uses), uses, al.calls(ix)).select("session_id", "call_k", "category", "input")
 
@@ -190,7 +202,7 @@ def log_line_types(spark, sf):
 
 @query("log_exploration")
 def log_exploration(spark, sf):
-    ix = indexed(spark, sf)
+    ix = index_table(spark, sf)
     uses = al.tool_uses(ix)
     w8 = rules.over_exploration(rules.exploration(uses), al.output_terms(ix))
     w4 = rules.discarded_output(rules.whole_file_writes(uses))
@@ -206,14 +218,14 @@ def log_term_reach(spark, sf):
 
 @query("log_instruction_items")
 def log_instruction_items(spark, sf):
-    ix = indexed(spark, sf)
+    ix = index_table(spark, sf)
     items = labels.instruction_items(ix, al.tool_uses(ix), al.calls(ix))
     return labels.redact_items(items, [r"/p/[0-9]+"])
 
 
 @query("log_instruction_stats", with_views(CALLS, "SELECT session_id::VARCHAR AS session_id, instr, CAST(count(*) AS BIGINT) AS calls, CAST(sum(context) AS BIGINT) AS input, CAST(sum(CASE WHEN is_error AND event_id % 17 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM calls WHERE instr >= 1 GROUP BY 1, 2"))
 def log_instruction_stats(spark, sf):
-    ix = indexed(spark, sf)
+    ix = index_table(spark, sf)
     return labels.instruction_stats(al.calls(ix), al.tool_uses(ix)).select("session_id", "instr", "calls", "input", "errors")
 
 

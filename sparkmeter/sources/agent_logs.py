@@ -61,12 +61,18 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _flag(v: Column, path: str) -> Column:
-    return F.coalesce(_get(v, path, "boolean"), F.lit(False))
+def _flag(flag: Column) -> Column:
+    return F.coalesce(flag, F.lit(False))
 
 
-def _count(v: Column, path: str) -> Column:
-    return F.coalesce(_get(v, path, "bigint"), F.lit(0))
+def _count(count: Column) -> Column:
+    return F.coalesce(count, F.lit(0))
+
+
+#: What is read of a line, by one cast: fields that are missing or of another kind are null, one by one.
+LINE = """struct<type string, subtype string, sessionId string, isSidechain boolean, agentId string, isMeta boolean, isCompactSummary boolean,
+timestamp string, requestId string, uuid string, message struct<id string, model string, usage struct<input_tokens bigint, cache_read_input_tokens bigint,
+cache_creation_input_tokens bigint, output_tokens bigint, cache_creation struct<ephemeral_1h_input_tokens bigint>>>>"""
 
 
 def block_type(b: Column) -> Column:
@@ -75,30 +81,26 @@ def block_type(b: Column) -> Column:
 
 def parse_lines(raw: DataFrame) -> DataFrame:
     """Typed columns; lines that are not JSON objects are dropped next to the scan."""
-    v = F.col("_v")
-    df = raw.withColumn("_v", F.try_parse_json("value")).where(F.schema_of_variant("_v").startswith("OBJECT"))
-    blocks = _get(v, "$.message.content", "array<variant>")
-    plain = F.when(blocks.isNull(), _get(v, "$.message.content", "string"))
-    has_message = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.message", "variant")).startswith("OBJECT"), F.lit(False))
-    has_usage = F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.message.usage", "variant")).startswith("OBJECT"), F.lit(False))
+    v, r = F.col("_v"), F.col("_r")
     keep = [c for c in ("session_id", "at", "rank", "pos", scale.BLOCK) if c in raw.columns]
+    # a filter on what explode gives stays above it, so each line is parsed once
+    df = raw.select(*keep, F.explode(F.array(F.try_parse_json("value"))).alias("_v")).where(_get(v, "$", "struct<>").isNotNull())
+    df = df.withColumn("_r", _get(v, "$", LINE))
+    m, u = r["message"], r["message"]["usage"]
+    blocks = _get(v, "$.message.content", "array<variant>")
     df = df.select(
         *keep,
-        _get(v, "$.type", "string").alias("type"), _get(v, "$.subtype", "string").alias("subtype"),
-        _get(v, "$.sessionId", "string").alias("log_session_id"),
-        _flag(v, "$.isSidechain").alias("is_side"), F.coalesce(_get(v, "$.agentId", "string"), F.lit("")).alias("agent_id"),
-        _flag(v, "$.isMeta").alias("is_meta"), _flag(v, "$.isCompactSummary").alias("is_summary"),
-        tx.parse_time(_get(v, "$.timestamp", "string")).alias("ts"),
-        has_message.alias("has_message"), has_usage.alias("has_usage"),
-        F.coalesce(_get(v, "$.message.id", "string"), _get(v, "$.requestId", "string"), _get(v, "$.uuid", "string")).alias("msg_key"),
-        _get(v, "$.message.model", "string").alias("model"),
-        _count(v, "$.message.usage.input_tokens").alias("input"),
-        _count(v, "$.message.usage.cache_read_input_tokens").alias("cache_read"),
-        _count(v, "$.message.usage.cache_creation_input_tokens").alias("cache_write"),
-        _count(v, "$.message.usage.cache_creation.ephemeral_1h_input_tokens").alias("_1h"),
-        _count(v, "$.message.usage.output_tokens").alias("output"),
-        F.when(F.col("_v").isNotNull(), blocks).alias("blocks"), plain.alias("plain"),
-    )
+        r["type"].alias("type"), r["subtype"].alias("subtype"), r["sessionId"].alias("log_session_id"),
+        _flag(r["isSidechain"]).alias("is_side"), F.coalesce(r["agentId"], F.lit("")).alias("agent_id"),
+        _flag(r["isMeta"]).alias("is_meta"), _flag(r["isCompactSummary"]).alias("is_summary"),
+        tx.parse_time(r["timestamp"]).alias("ts"),
+        m.isNotNull().alias("has_message"), u.isNotNull().alias("has_usage"),
+        F.coalesce(m["id"], r["requestId"], r["uuid"]).alias("msg_key"), m["model"].alias("model"),
+        _count(u["input_tokens"]).alias("input"), _count(u["cache_read_input_tokens"]).alias("cache_read"),
+        _count(u["cache_creation_input_tokens"]).alias("cache_write"),
+        _count(u["cache_creation"]["ephemeral_1h_input_tokens"]).alias("_1h"), _count(u["output_tokens"]).alias("output"),
+        F.when(v.isNotNull(), blocks).alias("blocks"), "_v",
+    ).withColumn("plain", F.when(F.col("blocks").isNull(), _get(v, "$.message.content", "string"))).drop("_v")
     return df.withColumns({
         "cache_write_1h": F.least("cache_write", "_1h"),
         "context": F.col("input") + F.col("cache_read") + F.col("cache_write"),
@@ -124,16 +126,17 @@ def is_instruction() -> Column:
     return F.coalesce(who & ~answered & real, F.lit(False))
 
 
-def index_lines(lines: DataFrame, audit_mode: bool = False) -> DataFrame:
+def index_lines(lines: DataFrame, audit_mode: bool = False, rows: int | None = None) -> DataFrame:
     """Place every line on the call axis.
 
     is_call: first line of a response that reported usage (one response is written as several
     lines repeating it). Responses without processed input are not calls, except in
     ``audit_mode``. call_k: dense index of the response's call in its context. main_calls:
     main-chain calls so far, this line included. epoch, instr: compactions and instructions so far.
+    rows: about how many lines there are, if known; then no task holds more of them where there are more.
     """
     home = ["session_id"] + ([scale.BLOCK] if scale.BLOCK in lines.columns else [])
-    df = lines.repartition(*home)  # every window below is inside a session: one shuffle
+    df = lines.repartition(*home) if rows is None else scale.grouped(lines, home, rows)  # every window below is inside a session: one shuffle
     answer = (F.col("type") == "assistant") & F.col("has_message")
     df = scale.scan(df, ["session_id", "ctx_key", "msg_key"], ORDER,
                     _nth=scale.running_sum((answer & F.col("has_usage")).cast("bigint")))
@@ -232,7 +235,7 @@ def spaced_json(json: Column) -> Column:
 
 def tool_uses(indexed: DataFrame) -> DataFrame:
     """One row per tool use with its first result. Uses without a result are kept."""
-    uses, res = _uses(indexed), _first_by(_results(indexed), ["session_id", "use_id"], [*ORDER, "bpos"])
+    uses, res = _uses(indexed), _results(indexed, first=True)
     res = res.select("session_id", "use_id", *[F.struct(*ORDER, "bpos").alias("result_ord")], *[c for c in RESULT + ["result_blk"] if c in res.columns])
     out = uses.join(res, ["session_id", "use_id"], "left")
     return out.withColumns({
@@ -260,20 +263,22 @@ def _uses(indexed: DataFrame) -> DataFrame:
     carry += [scale.BLOCK] if scale.BLOCK in indexed.columns else []
     uses = indexed.where((F.col("type") == "assistant") & F.col("blocks").isNotNull()).select(
         *carry, F.posexplode("blocks").alias("bpos", "b"))
+    use_id = F.try_variant_get(b, "$.id", "string")
+    uses = uses.where((block_type(b) == "tool_use") & use_id.isNotNull()).withColumn("use_id", use_id)
+    uses = _first_by(uses, ["session_id", "use_id"], [*ORDER, "bpos"])  # told of the first only, and only what is asked for
     arg = F.try_variant_get(b, "$.input", "variant")
-    uses = uses.where((block_type(b) == "tool_use") & F.try_variant_get(b, "$.id", "string").isNotNull()).select(
-        *carry, "bpos", F.try_variant_get(b, "$.id", "string").alias("use_id"),
+    uses = uses.select(
+        *carry, "bpos", "use_id",
         F.coalesce(F.try_variant_get(b, "$.name", "string"), F.lit("?")).alias("name"),
         F.to_json(arg).alias("input_sig"),  # object keys come back sorted
-        F.coalesce(F.try_variant_get(arg, "$.file_path", "string"), F.try_variant_get(arg, "$.path", "string"),
-                   F.try_variant_get(arg, "$.notebook_path", "string")).alias("path"),
-        F.to_json(F.struct(F.try_variant_get(arg, "$.offset", "string"), F.try_variant_get(arg, "$.limit", "string"),
-                           F.try_variant_get(arg, "$.pages", "string"))).alias("read_range"),
-        F.try_variant_get(arg, "$.command", "string").alias("command"),
-        F.coalesce(F.try_variant_get(arg, "$.content", "string"), F.try_variant_get(arg, "$.new_string", "string"),
-                   F.try_variant_get(arg, "$.new_source", "string"), F.lit("")).alias("body"),
+        F.coalesce(F.try_variant_get(b, "$.input.file_path", "string"), F.try_variant_get(b, "$.input.path", "string"),
+                   F.try_variant_get(b, "$.input.notebook_path", "string")).alias("path"),
+        F.to_json(F.struct(F.try_variant_get(b, "$.input.offset", "string"), F.try_variant_get(b, "$.input.limit", "string"),
+                           F.try_variant_get(b, "$.input.pages", "string"))).alias("read_range"),
+        F.try_variant_get(b, "$.input.command", "string").alias("command"),
+        F.coalesce(F.try_variant_get(b, "$.input.content", "string"), F.try_variant_get(b, "$.input.new_string", "string"),
+                   F.try_variant_get(b, "$.input.new_source", "string"), F.lit("")).alias("body"),
     )
-    uses = _first_by(uses, ["session_id", "use_id"], [*ORDER, "bpos"])
     return uses.withColumn("k", F.greatest(F.lit(0), F.col("main_calls") - 1))
 
 
@@ -281,7 +286,8 @@ def _uses(indexed: DataFrame) -> DataFrame:
 RESULT = ["result_epoch", "result_instr", "result_at", "result_ctx_at", "is_error", "result_tokens", "text_tokens", "images", "result_hash", "result_text"]
 
 
-def _results(indexed: DataFrame) -> DataFrame:
+def _results(indexed: DataFrame, first: bool = False) -> DataFrame:
+    """Tool results, all or the first of each use."""
     b = F.col("b")
     result_block = [F.col(scale.BLOCK).alias("result_blk")] if scale.BLOCK in indexed.columns else []
     res = indexed.where((F.col("type") == "user") & F.col("blocks").isNotNull()).select(
@@ -293,8 +299,11 @@ def _results(indexed: DataFrame) -> DataFrame:
         lambda acc, x: acc + tx.estimate_tokens(F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))))
     joined = F.array_join(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit(""))), "\n")
     whole = F.when(items.isNotNull(), joined).otherwise(F.coalesce(F.try_variant_get(content, "$", "string"), F.lit("")))
-    return res.where(block_type(b) == "tool_result").select(
-        "session_id", "ctx_key", "is_side", F.try_variant_get(b, "$.tool_use_id", "string").alias("use_id"), *ORDER, "bpos",
+    res = res.where(block_type(b) == "tool_result").withColumn("use_id", F.try_variant_get(b, "$.tool_use_id", "string"))
+    if first:
+        res = _first_by(res, ["session_id", "use_id"], [*ORDER, "bpos"])
+    return res.select(
+        "session_id", "ctx_key", "is_side", "use_id", *ORDER, "bpos",
         F.col("epoch").alias("result_epoch"), F.col("instr").alias("result_instr"),
         F.col("main_calls").alias("result_at"), F.col("ctx_calls").alias("result_ctx_at"), *result_block,
         F.coalesce(F.try_variant_get(b, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
