@@ -24,6 +24,11 @@ def _json(**fields):
 LINES_PER_EVENT = 3  # raw_lines makes about so many
 
 
+def uses_table(ix, *unread):
+    """Tool uses, written once for queries that read them more than once, without the columns these do not read."""
+    return scale.stored(al.tool_uses(ix).drop(*unread), "uses")
+
+
 def raw_lines(spark, sf):
     """Each event as the lines a coding agent would have written for it."""
     c = tables.calls(spark, sf)
@@ -185,7 +190,7 @@ def log_steps_on_waste(spark, sf):
     """No step here is without text, so each response is checked and none qualifies once text counts; the
     text flag is dropped to list the candidates."""
     ix = index_table(spark, sf)
-    uses = al.tool_uses(ix).withColumn("has_text", L(False))
+    uses = uses_table(ix, "path", "read_range", "command", "body", "result_tokens", "text_tokens", "images", "result_text").withColumn("has_text", L(False))
     return floor.wasted_steps(floor.judged_results(uses), uses, al.calls(ix)).select("session_id", "call_k", "category", "input")
 
 
@@ -203,8 +208,8 @@ def log_line_types(spark, sf):
 @query("log_exploration")
 def log_exploration(spark, sf):
     ix = index_table(spark, sf)
-    uses = al.tool_uses(ix)
-    w8 = rules.over_exploration(rules.exploration(uses), al.output_terms(ix))
+    uses = uses_table(ix, "input_sig", "read_range", "result_hash", "result_tokens", "text_tokens", "images")
+    w8 = rules.over_exploration(rules.exploration(uses), scale.stored(al.output_terms(ix), "terms"))
     w4 = rules.discarded_output(rules.whole_file_writes(uses))
     w5 = w8.select("session_id", "instr", L(0.0).alias("w5"), L(0).alias("w5_input"))
     return rules.scores(al.instructions(ix), w4, w5, w8)
@@ -213,13 +218,14 @@ def log_exploration(spark, sf):
 @query("log_term_reach", with_views(CALLS, r"""SELECT session_id::VARCHAR AS session_id, term, CAST(max(k) AS BIGINT) AS last_k FROM (SELECT DISTINCT session_id, k, unnest(regexp_extract_all('Handled result_' || result_hash || ' for item_number_' || regexp_extract(input_sig, '([0-9]+)', 1) || ' ' || CASE name WHEN 'Write' THEN 'body_of_' || regexp_extract(input_sig, '([0-9]+)', 1) || ' content file_path' WHEN 'Read' THEN 'file_path' WHEN 'Bash' THEN 'command' ELSE 'pattern' END, '[A-Za-z_][A-Za-z0-9_./\-]{5,}|[0-9]{4,}')) AS term FROM calls) JOIN (SELECT session_id, count(*) AS active FROM calls GROUP BY 1) USING (session_id)
   GROUP BY session_id, term, active HAVING count(*) <= greatest(3, 0.02 * active)"""))
 def log_term_reach(spark, sf):
-    return rules.term_reach(al.output_terms(indexed(spark, sf))).select("session_id", "term", "last_k")
+    return rules.term_reach(scale.stored(al.output_terms(indexed(spark, sf)), "terms")).select("session_id", "term", "last_k")
 
 
 @query("log_instruction_items")
 def log_instruction_items(spark, sf):
     ix = index_table(spark, sf)
-    items = labels.instruction_items(ix, al.tool_uses(ix), al.calls(ix))
+    uses = uses_table(ix, "path", "read_range", "command", "body", "result_hash", "result_tokens", "text_tokens", "images")
+    items = labels.instruction_items(ix, uses, al.calls(ix))
     return labels.redact_items(items, [r"/p/[0-9]+"])
 
 

@@ -47,3 +47,9 @@ def test_branches_read_a_written_index(spark):
     files = log_queries.log_tool_uses(spark, SF).inputFiles()
     assert files and all("/index-" in f for f in files)
     assert log_queries.log_tool_uses(spark, SF).where(F.col("has_result")).count() > 0
+
+
+def test_uses_and_terms_are_written_where_read_again(spark):
+    files = [f.rsplit("/", 2)[-2].split("-")[0] for f in log_queries.log_exploration(spark, SF).inputFiles()]
+    assert set(files) == {"index", "uses", "terms"}
+    assert all("/terms-" in f for f in log_queries.log_term_reach(spark, SF).inputFiles())
