@@ -201,8 +201,8 @@ def _fit(toxic: dict[str, int], clean: list[str]) -> Model:
 
 
 def _word_column(text: Column) -> Column:
-    """Distinct words of a text, as `word_of` makes them, up to LONGEST letters."""
-    return F.filter(F.array_distinct(F.transform(F.split(F.lower(text), r"[ \t-\r]+"), lambda x: F.regexp_replace(x, r"[^\p{L}]+", ""))), lambda x: F.length(x).between(ORDER, LONGEST))
+    """Distinct words of a text, as `word_of` makes them, of any length. What is no letter goes from the whole text at once."""
+    return F.array_distinct(F.split(F.regexp_replace(F.lower(text), r"[^\p{L} \t-\r]+", ""), r"[ \t-\r]+"))
 
 
 def _group(text: Column) -> Column:
@@ -223,15 +223,23 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clea
     Of more than fit_rows labels, about so many are learned from, by a hash of their doc_id; being few, they go to the
     texts, and texts are not shuffled. A label that is repeated counts once.
     """
+    model, _, rows = _learn(docs, labels, toxic_words, clean_words, hard_words, rounds, fit_rows)
+    if not model.marks:
+        return model
+    margins = rows.select("text", "toxic").mapInArrow(_scorer(model), "toxic int, score double, predicted int, margin double")
+    return _with_edge(model, margins.select("margin", F.col("toxic").alias("bad"), F.lit(1).alias("n")))
+
+
+def _learn(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clean_words: int = CLEAN_WORDS, hard_words: int = HARD_WORDS, rounds: int = ROUNDS, fit_rows: int = FIT_ROWS) -> tuple[Model, DataFrame, DataFrame]:
+    """The model without its edge, the labels learned from (of, toxic), and the labelled texts (text, toxic, group)."""
     told = labels.select(F.col("doc_id").alias("of"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and of is not null")
     told = save(told.distinct(), "labels")
     share = fit_rows / max(fit_rows, told.count())
     told = told.where(F.pmod(F.xxhash64("of"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = docs.join(F.broadcast(told), F.col("doc_id") == F.col("of")).select("text", told.toxic)
-    rows = save(rows.where("text is not null"), "labelled")
-    each = rows.select("toxic", "text", _word_column(F.col("text")).alias("some")).withColumn("group", _group(F.col("text")))
-    groups = each.groupBy("toxic", "group").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    once = each.select(F.explode("some").alias("word"), "toxic", "group").distinct()
+    rows = docs.where("text is not null").join(F.broadcast(told), F.col("doc_id") == F.col("of"))
+    rows = save(rows.select("text", told.toxic, _group(F.col("text")).alias("group")), "labelled")
+    groups = rows.groupBy("toxic", "group").agg(F.count(F.lit(1)).alias("n")).groupBy().agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    once = rows.select(F.explode(_word_column(F.col("text"))).alias("word"), "toxic", "group").where(F.length("word").between(ORDER, LONGEST)).distinct()
     counts = once.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     odds = F.log((F.col("bad") + 0.5) / ((groups[0] or 0) + 1)) - F.log((F.col("good") + 0.5) / ((groups[1] or 0) + 1))
     counts = save(counts.withColumn("odds", odds), "words")
@@ -246,9 +254,14 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clea
         clean += [r.word for r in worst.collect() if r.word not in known]
         known.update(clean)
         model = _fit(toxic, clean)
-    if not toxic:
+    return model, told, rows
+
+
+def _with_edge(model: Model, margins: DataFrame) -> Model:
+    """margins: (margin, bad, n), how many texts have a margin and how many of these are toxic."""
+    if not model.marks:
         return model
-    steps = rows.mapInArrow(_scorer(model), "toxic int, score double, predicted int, margin double").groupBy(F.round("margin", 2).alias("at")).agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    steps = margins.groupBy(F.round("margin", 2).alias("at")).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     steps = sorted((r.at, r.bad, r.n - r.bad) for r in steps.where("at between -2 and 20").collect())
     at, bad, good = (np.array(x, float) for x in zip(*steps))
     errors = np.cumsum(bad) - bad + good.sum() - (np.cumsum(good) - good)  # if texts from at[i] on are toxic
@@ -257,6 +270,23 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clea
     return dataclasses.replace(model, edge=float(edge))
 
 
+def fit_score(docs: DataFrame, labels: DataFrame, known: Column, **bounds: int) -> DataFrame:
+    """(doc_id, score, predicted) of all docs by the model that `fit` makes of those that are known, each text scored once.
+
+    What `score(docs, fit(docs.where(known), labels))` tells; the margins of the labelled texts are those of all texts.
+    """
+    model, told, _ = _learn(docs.where(known), labels, **bounds)
+    marked = told.groupBy("of").agg(F.sum("toxic").alias("bad"), F.count(F.lit(1)).alias("n"))
+    seen = known & F.col("text").isNotNull()
+    rows = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("of"), "left")
+    rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(seen, F.col("bad")).alias("bad"), F.when(seen, F.col("n")).alias("n"))
+    rows = save(rows.mapInArrow(_scorer(model), "doc_id long, bad long, n long, score double, predicted int, margin double").drop("score", "predicted"), "margins")
+    model = _with_edge(model, rows.where("n is not null"))
+    beyond = F.least(F.greatest(F.col("margin") - F.lit(model.edge), F.lit(-9.0)), F.lit(9.0))
+    out = rows.select("doc_id", (1 / (1 + F.exp(F.lit(-STEEP) * beyond))).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 class _Judge:
     """Margins of words, each distinct word judged once."""
 

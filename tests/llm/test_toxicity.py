@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkmeter.llm import toxicity as tx
 from sparkmeter.llm.queries import QUERIES
@@ -76,3 +77,18 @@ def test_held_out_accuracy(spark):
     bad = [r for r in held if r.toxic == 1]
     assert len(held) > 50 and sum(r.predicted == r.toxic for r in held) / len(held) > 0.95
     assert sum(r.predicted for r in bad) / len(bad) > 0.6
+
+
+def test_each_text_is_scored_once(spark, docs, monkeypatch):
+    """fit_score tells what fit and score tell, from one pass over the texts."""
+    texts = [(i, f"you {'idiot' if i % 3 == 0 else 'friend'} number {'abcdefghij'[i % 10]}{'klmno'[i % 5]}x walk {i}") for i in range(60)]
+    rows = docs(texts + [(60, None), (None, "you idiot"), (61, "")])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(50)] + [(7, 1, 1), (60, 1, 1)], "doc_id long, quality int, toxic int")
+    known = ~tx.held_out(F.col("doc_id"))
+    model = tx.fit(rows.where(known), labels)
+    old = {r.doc_id: r for r in tx.score(rows, model).collect()}
+    made = []
+    monkeypatch.setattr(tx, "_scorer", lambda m, real=tx._scorer: made.append(1) or real(m))
+    new = {r.doc_id: r for r in tx.fit_score(rows, labels, known).collect()}
+    assert len(made) == 1 and new.keys() == old.keys() and {r.predicted for r in new.values()} == {0, 1}
+    assert all(abs(new[k].score - old[k].score) < 1e-12 and new[k].predicted == old[k].predicted for k in old)
