@@ -8,17 +8,16 @@ partition is a signature, so similar sets always share one.
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import prepare
 from .components import components
-from .shared import save
+from .shared import batches_of, save
 from .words import chunks, lists, longs, mix, shingles, words
 
 CELLS = 3
@@ -114,18 +113,6 @@ def _linked(k: int, num: int, den: int):
     return run
 
 
-@contextlib.contextmanager
-def _batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """What is run inside hands Python so many rows at once, since each holds whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _similar(a: str, b: str, differ: Column, num: int, den: int) -> Column:
     """|x & y| / |x | y| >= num / den, said of the number of features in which they differ."""
     return (den - num) * (F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")) >= (den + num) * differ
@@ -216,10 +203,10 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
         texts = keyed.join(fit(ends), ["key1", "key2"]).where(F.col("doc_id").eqNullSafe(F.col("of"))).select("node", "text")
         if has_odd:  # only rows without an id of their own can come more than once
             texts = texts.groupBy("node").agg(F.first("text").alias("text"))
-        with _batches_of(docs.sparkSession, 1000):
+        with batches_of(docs.sparkSession, 1000):
             texts = save(texts, "texts")
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        with _batches_of(docs.sparkSession, 500):
+        with batches_of(docs.sparkSession, 500):
             return save(both.select("a", "b", "x", "y").mapInArrow(_linked(k, num, den), "a long, b long"), "links")
 
     hubs = buckets.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))

@@ -44,9 +44,10 @@ class PieceCache:
             raw = data.tobytes()
             some = first[new]
             found = self.encode([raw[i:j].decode() for i, j in zip(start[some].tolist(), end[some].tolist())])
-            count = np.fromiter(map(len, found), np.int64, len(found))
+            even = isinstance(found, np.ndarray)  # a row of ids for each piece
+            count = np.full(len(found), found.shape[1]) if even else np.fromiter(map(len, found), np.int64, len(found))
             begin = len(self.ids) + np.cumsum(count) - count
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(found), np.int32, int(count.sum()))])
+            self.ids = np.concatenate([self.ids, found.ravel() if even else np.fromiter(itertools.chain.from_iterable(found), np.int32, int(count.sum()))])
             where = np.searchsorted(self.keys, key[new])
             self.keys, self.begin, self.count = np.insert(self.keys, where, key[new]), np.insert(self.begin, where, begin), np.insert(self.count, where, count)
             at = np.searchsorted(self.keys, key)

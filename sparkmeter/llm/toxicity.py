@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .piece_cache import PieceCache
-from .shared import save
+from .shared import batches_of, save
 from .words import CHUNK_BYTES, chunks, words
 
 #: Characters in a subsequence, decay by character of its span, and the power of the kernel, which makes it sharper.
@@ -38,12 +38,17 @@ CLEAN_COST, COST = 10.0, 10_000.0
 MIN_TEXTS = 3
 LONGEST, STEP = 16, 8
 STEEP = 4.0
+#: Words judged at once, and bytes of text: what a Python worker holds does not grow with an Arrow batch.
+JUDGED_WORDS, JUDGED_BYTES = 4_096, CHUNK_BYTES // 4
+#: Rows with texts in an Arrow batch, where this step runs the job itself.
+BATCH_ROWS = 1_000
 _OTHER = re.compile(r"[\W\d_]+")
 
 
 def word_of(raw: str) -> str:
     """Lower case, without what is no letter."""
-    return _OTHER.sub("", raw.lower())
+    low = raw.lower()
+    return low if low.isalpha() else _OTHER.sub("", low)
 
 
 def windows(word: str) -> list[str]:
@@ -63,10 +68,8 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_length(some: list[str]) -> dict[int, np.ndarray]:
-    out: dict[int, list[int]] = {}
-    for i, w in enumerate(some):
-        out.setdefault(len(w), []).append(i)
-    return {n: np.array(which) for n, which in out.items()}
+    long = np.fromiter(map(len, some), np.int64, len(some))
+    return {n: np.flatnonzero(long == n) for n in np.unique(long).tolist()}
 
 
 @functools.lru_cache(maxsize=64)
@@ -146,7 +149,9 @@ class Model:
         """The margin of each word."""
         if not self.marks:
             return np.full(len(some), self.weights[-1])
-        return kernel(some, list(self.marks)) @ self.whiten @ self.weights[:-1] + self.weights[-1]
+        marks, by_mark = list(self.marks), self.whiten @ self.weights[:-1]
+        parts = (some[i : i + JUDGED_WORDS] for i in range(0, max(1, len(some)), JUDGED_WORDS))
+        return np.concatenate([kernel(part, marks) @ by_mark for part in parts]) + self.weights[-1]
 
 
 def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
@@ -227,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clea
     if not model.marks:
         return model
     margins = rows.select("text", "toxic").mapInArrow(_scorer(model), "toxic int, score double, predicted int, margin double")
-    return _with_edge(model, margins.select("margin", F.col("toxic").alias("bad"), F.lit(1).alias("n")))
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return _with_edge(model, margins.select("margin", F.col("toxic").alias("bad"), F.lit(1).alias("n")))
 
 
 def _learn(docs: DataFrame, labels: DataFrame, toxic_words: int = TOXIC_WORDS, clean_words: int = CLEAN_WORDS, hard_words: int = HARD_WORDS, rounds: int = ROUNDS, fit_rows: int = FIT_ROWS) -> tuple[Model, DataFrame, DataFrame]:
@@ -280,7 +286,8 @@ def fit_score(docs: DataFrame, labels: DataFrame, known: Column, **bounds: int)
     seen = known & F.col("text").isNotNull()
     rows = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("of"), "left")
     rows = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(seen, F.col("bad")).alias("bad"), F.when(seen, F.col("n")).alias("n"))
-    rows = save(rows.mapInArrow(_scorer(model), "doc_id long, bad long, n long, score double, predicted int, margin double").drop("score", "predicted"), "margins")
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        rows = save(rows.mapInArrow(_scorer(model), "doc_id long, bad long, n long, score double, predicted int, margin double").drop("score", "predicted"), "margins")
     model = _with_edge(model, rows.where("n is not null"))
     beyond = F.least(F.greatest(F.col("margin") - F.lit(model.edge), F.lit(-9.0)), F.lit(9.0))
     out = rows.select("doc_id", (1 / (1 + F.exp(F.lit(-STEEP) * beyond))).alias("score"))
@@ -288,20 +295,22 @@ def fit_score(docs: DataFrame, labels: DataFrame, known: Column, **bounds: int)
 
 
 class _Judge:
-    """Margins of words, each distinct word judged once."""
-
-    def __init__(self, model: Model):
-        self.model, self.margins, self.kept = model, PieceCache(self._margins), {}
-
-    def _margins(self, raw: list[str]) -> list[np.ndarray]:
-        parts, owner = [], []
-        for i, r in enumerate(raw):
-            some = windows(word_of(r))
-            parts += some
-            owner += [i] * len(some)
-        best = np.full(len(raw), -np.inf)
-        np.maximum.at(best, owner, self.model.decide(parts))
-        return [np.array([v]) for v in best.astype(np.float32).view(np.int32)]
+    """Margins of words, each distinct word judged once, however it is written; what is remembered is bounded."""
+
+    def __init__(self, model: Model, limit: int = 300_000):
+        self.model, self.margins, self.told, self.limit = model, PieceCache(self._margins), {}, limit
+
+    def _margins(self, raw: list[str]) -> np.ndarray:
+        some = [word_of(r) for r in raw]
+        if len(self.told) > self.limit:
+            self.told.clear()
+        new = [w for w in dict.fromkeys(some) if w not in self.told]
+        if new:
+            parts = [windows(w) for w in new]
+            count = np.fromiter(map(len, parts), np.int64, len(parts))
+            margins = self.model.decide(list(itertools.chain.from_iterable(parts)))
+            self.told.update(zip(new, np.maximum.reduceat(margins, np.cumsum(count) - count).tolist()))
+        return np.fromiter(map(self.told.__getitem__, some), np.float32, len(some)).view(np.int32)[:, None]
 
     def __call__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self.margins.ids_of(data, start, end)[0].view(np.float32)
@@ -349,11 +358,12 @@ def _judged(model: Model):
 
 def _scorer(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, at in chunks(batches, "text", 2 * CHUNK_BYTES):
+        for rows, data, at in chunks(batches, "text", JUDGED_BYTES):
             margin, doc, start, end = _margins(model, data, at)
             worst = np.full(rows.num_rows, -2.0)
-            np.maximum.at(worst, doc, margin)
             if len(doc):
+                new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                worst[doc[new]] = np.maximum(worst[doc[new]], np.maximum.reduceat(margin, new))
                 texts, owners = _spelled(data, doc, start, end)
                 if texts:
                     np.maximum.at(worst, owners, np.array([model.decide(windows(word_of(t))).max() for t in texts]))

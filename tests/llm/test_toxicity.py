@@ -1,7 +1,9 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkmeter.llm import toxicity as tx
@@ -92,3 +94,20 @@ def test_each_text_is_scored_once(spark, docs, monkeypatch):
     new = {r.doc_id: r for r in tx.fit_score(rows, labels, known).collect()}
     assert len(made) == 1 and new.keys() == old.keys() and {r.predicted for r in new.values()} == {0, 1}
     assert all(abs(new[k].score - old[k].score) < 1e-12 and new[k].predicted == old[k].predicted for k in old)
+
+
+def test_a_batch_is_scored_in_bounded_memory():
+    """Texts of 8 MB with 150,000 different words in one batch: what is held beside them does not grow with them."""
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(150_000)]
+    model = tx._fit({w: 5 for w in some[:80]}, some[80:400])
+    texts = [" ".join(some[i : i + 1_500] * 6) for i in range(0, len(some), 1_500)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    list(tx._scorer(model)(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    got = pa.Table.from_batches(tx._scorer(model)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == len(texts) and peak < 60 << 20
+    want = [max([-2.0, *model.decide(sorted(set(t.split())))]) if t else -2.0 for t in texts]
+    assert np.allclose(got["margin"].to_numpy(), want, atol=1e-5)
