@@ -62,8 +62,12 @@ def agenda(kw: DataFrame, size: int = AGENDA_SIZE) -> DataFrame:
 
 
 def topics(counts: DataFrame, kw: DataFrame) -> DataFrame:
-    """(conv_id, idx, word, rank 0-based): scored words of each turn, five per prompt, three per reply."""
-    c = counts.join(kw.select("conv_id", "word", "score"), ["conv_id", "word"])
+    """(conv_id, idx, word, rank 0-based): scored words of each turn, five per prompt, three per reply.
+
+    A conversation has few scored words, so they go to its turns as one map: the join is by conversation, as all before it.
+    """
+    scores = kw.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "score"))).alias("_scores"))
+    c = counts.join(scores, "conv_id").withColumn("score", F.try_element_at("_scores", F.col("word"))).drop("_scores").where("score IS NOT NULL")
     w = Window.partitionBy(*TURN).orderBy(F.desc("score"), "word")
     c = c.withColumn("rank", F.row_number().over(w) - 1)
     return c.where(F.col("rank") < F.when(F.col("role") == "user", USER_TOPICS).otherwise(REPLY_TOPICS)).select(*TURN, "word", "rank")

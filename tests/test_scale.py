@@ -1,11 +1,15 @@
 """The blocked paths (one group far over the limit) must equal the plain ones."""
 
 import random
+import re
 import statistics
 
+import oracle_check
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from sparkmeter import scale
+from sparkmeter.sources import tables
 
 
 def skewed(spark, n=4000):
@@ -75,3 +79,18 @@ def test_fold_over_blocks_equals_one_block(spark):
         want.add((k, n))
     assert run(1000) == want
     assert run(40) == want
+
+
+def test_words_of_conversations_are_ranked_in_bounded_tasks(spark, monkeypatch):
+    """Rows a task grow with TURNS_PER_TASK, not with the table: no step deals (conv_id, word) out anew over a fixed number of partitions."""
+    sf, name = "/root/testdata/sf0.001", "graph_edges"
+    monkeypatch.setattr(tables, "TURNS_PER_TASK", 15)
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").count()
+    tasks = -(-turns // 15)
+    assert tasks > spark.sparkContext.defaultParallelism
+    df = entry.queries()[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)
+    words = [keys for keys, n in dealt if "word" in keys]
+    assert not words and {int(n) for keys, n in dealt if re.fullmatch(r"conv_id#\d+L?", keys)} == {tasks}
+    assert oracle_check.compare(df, oracle_check.connect(sf), entry.oracle_sql()[name]) is None
