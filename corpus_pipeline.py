@@ -28,7 +28,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows without words are in no group and stay. Null ids come last; of equal ids the first row stays.
     """
-    rows = save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plain = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").isEmpty()
+    rows = docs.withColumn("_row", F.col("doc_id")) if plain else save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
     classes = ngram_join.link_classes(rows.select(F.col("_row").alias("doc_id"), "text"), 5, 80, 100)
     members = save(rows.select("_row", "doc_id").join(classes.where("n_shingles > 0").withColumnRenamed("doc_id", "_row"), "_row"), "members")
     best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"), F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -24,6 +24,10 @@ CELLS = 3
 PAIRS = ((0, 1), (0, 2), (1, 2))
 SKETCH = 32  # longs of parity bits: enough to tell long texts apart too
 NARROW = 8  # longs of the same bits folded, for a first look at many pairs
+#: Sets of more shingles have a wide sketch too, of one bit a shingle or more: SKETCH longs fill up and rule nothing out.
+WIDE = 32 * SKETCH
+#: Of a signature 40 bits are kept, which take less room; what then shares one by chance is ruled out with the other pairs.
+SIG = ~np.uint64(0xFFFFFF)
 #: A signature with more than this share of all rows is dealt over SALTS tasks.
 HOT_SHARE, SALTS, LOOK = 0.001, 64, 0.02
 #: Three longs a row: about 50 MB in memory.
@@ -65,7 +69,7 @@ def signatures(h: np.ndarray, owner: np.ndarray, sizes: np.ndarray, num: int, de
             found.append(mix(mix(cells[keep, a] + tag[keep]) * np.uint64(3) + mix(cells[keep, b] ^ np.uint64(p + 1)) + tag[keep]))
             place.append(set_of[keep])
     place = np.concatenate(place)
-    return np.concatenate(found)[np.argsort(place, kind="stable")], np.bincount(place, minlength=len(sizes))
+    return np.concatenate(found)[np.argsort(place, kind="stable")] & SIG, np.bincount(place, minlength=len(sizes))
 
 
 def _described(h: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
@@ -78,6 +82,33 @@ def _described(h: np.ndarray, owner: np.ndarray, n: int) -> list[np.ndarray]:
     return [mix(a), b, np.bincount(owner, minlength=n), *bits.T.copy()]
 
 
+def _wide(h: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parity bits of each set of more than WIDE shingles, as many as the next power of two; nothing for smaller ones."""
+    width = np.where(sizes > WIDE, 1 << np.ceil(np.log2(np.maximum(sizes, 64))).astype(np.int64), 0) >> 6
+    at = np.append(0, np.cumsum(width))
+    bits, keep = np.zeros(at[-1], np.uint64), width[owner] > 0
+    bit, of = mix(h[keep] + np.uint64(78)) % (width[owner[keep]].astype(np.uint64) * np.uint64(64)), owner[keep]
+    np.bitwise_xor.at(bits, at[of] + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(bits)])
+
+
+def _least_difference(x: bytes, y: bytes) -> int:
+    """At least in so many features two sets differ, by wide sketches; the longer one is folded, as both have a power of two of bits."""
+    a, b = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), 0)).sum()) if len(a) else 0
+
+
+def _not_apart(num: int, den: int):
+    """Of (a, b, x, y, n) the pairs (a, b) whose wide sketches x and y don't rule a link out; n is the sum of both sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            differ = np.fromiter(map(_least_difference, rows.column(2).to_pylist(), rows.column(3).to_pylist()), np.int64, rows.num_rows)
+            yield rows.select(["a", "b"]).filter(pa.array((den - num) * rows.column(4).to_numpy() >= (den + num) * differ))
+
+    return run
+
+
 def _sets(k: int, num: int, den: int, what: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in chunks(batches):
@@ -85,7 +116,7 @@ def _sets(k: int, num: int, den: int, what: str):
             h, owner = shingles(*words(data, at)[:2], n, k)
             about = _described(h, owner, n)
             if what == "about":
-                yield pa.RecordBatch.from_arrays([rows.column(0), *map(longs, about)], ["doc_id", *(x.split()[0] for x in _SET.split(", "))])
+                yield pa.RecordBatch.from_arrays([rows.column(0), *map(longs, about), _wide(h, owner, about[2])], ["doc_id", *(x.split()[0] for x in _SET.split(", ")), "wide"])
             else:
                 more = lists(*signatures(h, owner, about[2], num, den)) if what == "signatures" else rows.column(1)
                 yield pa.RecordBatch.from_arrays([rows.column(0), *map(longs, about[:2]), more], ["doc_id", "key1", "key2", what])
@@ -151,10 +182,10 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
     """
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    every = save(docs.mapInArrow(_sets(k, num, den, "about"), f"doc_id long, {_SET}"), "sets")
+    every = save(docs.mapInArrow(_sets(k, num, den, "about"), f"doc_id long, {_SET}, wide binary"), "sets")
     signed = lambda some: some.mapInArrow(_sets(k, num, den, "signatures"), "doc_id long, key1 long, key2 long, signatures array<long>")  # noqa: E731  made where they are exploded, never stored
     sets = every.where("n_shingles > 0")
-    about = ["n_shingles", *(f"p{i}" for i in range(SKETCH))]
+    about = ["n_shingles", *(f"p{i}" for i in range(SKETCH)), "wide"]
     nodes = sets.groupBy("key1", "key2").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in about))
     # a node is named by its smallest doc_id, or by its key where that is null or shared with another set
     shared = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null or doc_id < 0").select(F.col("doc_id").alias("odd"))
@@ -193,9 +224,15 @@ def link_classes(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100) ->
 
     def check(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b), by their parity bits and then their real sets, made from their texts, which take less room than the sets."""
-        x, y = nodes.alias("x"), nodes.alias("y")
-        pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_could("x", "y", num, den)).select("a", "b")
-        pairs = save(pairs, "pairs")
+        flat = nodes.drop("wide")
+        x, y = flat.alias("x"), flat.alias("y")
+        pairs = pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(_could("x", "y", num, den))
+        pairs = save(pairs.select("a", "b", (F.col("x.n_shingles") + F.col("y.n_shingles")).alias("n"), (F.least("x.n_shingles", "y.n_shingles") > WIDE).alias("large")), "close_pairs")
+        sketch = nodes.where(F.col("n_shingles") > WIDE)
+        x, y = (sketch.select(F.col("node").alias(c), F.col("wide").alias(w)) for c, w in (("a", "x"), ("b", "y")))
+        large = pairs.where("large").join(x, "a").join(y, "b").select("a", "b", "x", "y", "n")
+        with batches_of(docs.sparkSession, 1000):
+            pairs = save(pairs.where("not large").select("a", "b").union(large.mapInArrow(_not_apart(num, den), "a long, b long")), "pairs")
         ends = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "key1", "key2", F.col("doc_id").alias("of")), "ends")
         fit = F.broadcast if ends.count() <= BROADCAST_ROWS else lambda x: x
         some = docs.join(fit(ends.select("of").distinct()), F.col("doc_id").eqNullSafe(F.col("of"))).select("doc_id", "text")

@@ -24,7 +24,8 @@ from .words import chunks, mix
 BLANK = "▁"
 _MUL = np.uint64(0x9E3779B97F4A7C15 | 1)
 NONE = np.iinfo(np.int64).max
-CHUNK = 4 << 20
+#: Bytes of text coded at once in a task, and pieces remembered: a Python worker holds some hundred bytes for each.
+CHUNK, REMEMBERED = 1 << 20, 400_000
 
 
 class Pieces:
@@ -213,7 +214,7 @@ class Codec:
         self.size = np.array([len(x) for x in self.out], np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(self.out), np.uint8)
-        self.cache = PieceCache(self._encode)
+        self.cache = PieceCache(self._encode, REMEMBERED)
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         words = [w.replace(" ", BLANK) for w in words]

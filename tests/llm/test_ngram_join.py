@@ -76,3 +76,24 @@ def test_very_long_text_and_many_copies(docs):
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(300)] + [(1000, 1001), (5, 5)], "a long, b long")
     assert {r.node: r.root for r in components(links).collect()} == {i: 0 for i in range(301)} | {1000: 1000, 1001: 1000}
+
+
+def test_wide_sketches_rule_out_long_sets_and_never_a_link():
+    """Two long texts without a common word are told apart by sketches, so that their texts are not joined."""
+    import numpy as np
+
+    from sparkmeter.llm import ngram_join as nj
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([100, 6000, 6000, 5900, 9000, 30_000, 24_000])
+    own = [rng.integers(0, 2**63, n, dtype=np.uint64) for n in sizes]
+    own[3] = own[1][:5900]  # inside own[1]
+    own[6] = own[5][:24_000]
+    wide = nj._wide(np.concatenate(own), np.repeat(np.arange(len(sizes)), sizes), sizes).to_pylist()
+    assert [len(w) * 8 for w in wide] == [0, 8192, 8192, 8192, 16384, 32768, 32768]
+    for i, a in enumerate(own):
+        for j, b in enumerate(own):
+            least = nj._least_difference(wide[i], wide[j])
+            assert least <= len(np.setxor1d(a, b))
+            if i and j and not {i, j} <= {1, 3} and not {i, j} <= {5, 6} and i != j:
+                assert 9 * least > sizes[i] + sizes[j]  # no link at 0.8

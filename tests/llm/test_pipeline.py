@@ -65,3 +65,12 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_registered_and_run(spark):
     assert sum(k.startswith("op") and k[2].isdigit() for k in entry.queries()) == 10 and "pipeline" in entry.queries()
     assert entry.queries()["pipeline"](spark, "/root/testdata/sf0.001").count() > 50
+
+
+def test_near_copies_keep_no_second_copy_of_rows_with_ids_of_their_own(docs, monkeypatch):
+    names, save = [], cp.save
+    monkeypatch.setattr(cp, "save", lambda df, name: names.append(name) or save(df, name))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(4, " ".join(base)), (-2, " ".join(base)), (9, " ".join(base[:-1] + ["x"])), (5, "other words of its own here"), (6, None), (7, "")]
+    assert {r.doc_id for r in cp.near_copies(None, docs(rows), "").collect()} == {-2, 5, 6, 7} and "rows" not in names
+    assert {r.doc_id for r in cp.near_copies(None, docs([*rows, (None, "a b c d e f")]), "").collect()} == {-2, 5, 6, 7, None} and "rows" in names

@@ -52,3 +52,20 @@ def test_unigram_rule_finds_the_best_sum():
 
 def test_empty_table(docs):
     assert encode_decode(docs([]), MODEL).collect() == []
+
+
+def test_a_worker_holds_little_beside_its_batch():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkmeter.llm import sentencepiece_codec as sc
+
+    text = "some words that recur\n" * 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array([text] * 800)], ["doc_id", "text"])
+    sc.codec(MODEL)
+    tracemalloc.start()
+    assert sum(out.num_rows for out in sc._coder(MODEL, "text", True)(iter([batch]))) == 800
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6, most
