@@ -329,13 +329,13 @@ def segments(indexed: DataFrame) -> DataFrame:
     kind_of = block_type(b)
     raw_text = F.coalesce(F.try_variant_get(b, "$.text", "string"), F.lit(""))
     name = F.try_variant_get(b, "$.name", "string")
-    wrote = F.when(kind_of == "text", raw_text).when(kind_of == "tool_use", spaced_json(F.to_json(F.try_variant_get(b, "$.input", "variant"))))
+    wrote = F.when(kind_of == "text", raw_text).when(kind_of == "tool_use", F.to_json(F.try_variant_get(b, "$.input", "variant")))
     got = F.when(kind_of == "tool_result", text_of(F.try_variant_get(b, "$.content", "variant"))).when(kind_of == "text", raw_text)
     answer = (F.col("type") == "assistant") & F.col("call_k").isNotNull()
     user = F.col("type") == "user"
     rows = rows.select(
         "session_id", *ORDER, "bpos",
-        F.when(answer, wrote).when(user, got).alias("text"),
+        F.when(answer, wrote).when(user, got).alias("raw"), (answer & (kind_of == "tool_use")).alias("is_json"),
         F.when(answer & (kind_of == "text"), "assistant_text")
         .when(answer & name.isin(WRITERS), "persisted_write")
         .when(answer & (kind_of == "tool_use"), "tool_input")
@@ -345,10 +345,11 @@ def segments(indexed: DataFrame) -> DataFrame:
         .when(user & (kind_of == "text"), "user_prompt").alias("kind"),
         F.when(answer, F.col("call_k") + 1).otherwise(F.col("main_calls")).alias("birth"),
         F.when(answer, F.col("call_k")).alias("out_k"),
-    ).where("kind IS NOT NULL AND text IS NOT NULL")
+    ).where("kind IS NOT NULL AND raw <> ''")  # only a text without characters has no tokens, so nothing is spaced or counted for a query that reads neither
+    rows = rows.withColumn("text", F.when(F.col("is_json"), spaced_json(F.col("raw"))).otherwise(F.col("raw")))
     rows = rows.withColumns({"tokens": tx.estimate_tokens("text").cast("double"), "terms": tx.distinctive_terms("text"),
                              "seg_id": F.xxhash64("session_id", *ORDER, "bpos")})
-    return rows.where("tokens > 0").select("session_id", "seg_id", "kind", "tokens", "birth", "terms", "out_k")
+    return rows.select("session_id", "seg_id", "kind", "tokens", "birth", "terms", "out_k")
 
 
 def call_terms(segs: DataFrame) -> DataFrame:

@@ -53,3 +53,16 @@ def test_uses_and_terms_are_written_where_read_again(spark):
     files = [f.rsplit("/", 2)[-2].split("-")[0] for f in log_queries.log_exploration(spark, SF).inputFiles()]
     assert set(files) == {"index", "uses", "terms"}
     assert all("/terms-" in f for f in log_queries.log_term_reach(spark, SF).inputFiles())
+
+
+def test_births_neither_space_nor_count_texts(spark):
+    plan = log_queries.log_segment_births(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "﷐" not in plan
+    lines = [
+        '{"type":"user","message":{"content":[{"type":"text","text":""},{"type":"text","text":" "},{"type":"text","text":"a b"}]}}',
+        '{"type":"assistant","message":{"id":"m","usage":{"input_tokens":5},"content":[{"type":"tool_use","id":"t","name":"Read","input":{"a":"x,y","b":1}},{"type":"tool_use","id":"u","name":"Read"},{"type":"text","text":null}]}}',
+        '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"t","content":""},{"type":"tool_result","tool_use_id":"u","content":"ok"}]}}',
+    ]
+    raw = spark.createDataFrame([("s", i, 0, i, v) for i, v in enumerate(lines)], "session_id string, at long, rank long, pos long, value string")
+    got = sorted((r.kind, r.tokens, r.birth) for r in al.segments(al.index_lines(al.parse_lines(raw))).collect())
+    assert got == [("tool_input", 5.0, 1), ("tool_result", 1.0, 1), ("user_prompt", 1.0, 0), ("user_prompt", 1.0, 0)]
